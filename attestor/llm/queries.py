@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from attestor.llm import simhash
+from attestor.llm import pieces, simhash
 
-QUERIES = {"op5_simhash": simhash.op5_simhash}
+QUERIES = {
+    "op2_sentencepiece": pieces.op2_sentencepiece,
+    "op5_simhash": simhash.op5_simhash,
+}
 ORACLE: dict[str, str] = {}
