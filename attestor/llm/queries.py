@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from attestor.llm import pieces, simhash
+from attestor.llm import decontam, pieces, simhash
 
 QUERIES = {
     "op2_sentencepiece": pieces.op2_sentencepiece,
     "op5_simhash": simhash.op5_simhash,
+    "op7_decontamination": decontam.op7_decontamination,
 }
 ORACLE: dict[str, str] = {}
