@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from attestor.llm import decontam, html_text, langid, pieces, simhash
+from attestor.llm import ann, decontam, html_text, langid, pieces, sharding, simhash
 
 QUERIES = {
+    "op1_sharding": sharding.op1_sharding,
     "op2_sentencepiece": pieces.op2_sentencepiece,
     "op3_language_id": langid.op3_language_id,
     "op5_simhash": simhash.op5_simhash,
     "op7_decontamination": decontam.op7_decontamination,
+    "op9_neighbours": ann.op9_neighbours,
     "op10_html_text": html_text.op10_html_text,
 }
 ORACLE: dict[str, str] = {}
