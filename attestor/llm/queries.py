@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from attestor.llm import ann, decontam, html_text, langid, pieces, sharding, simhash
+from attestor.llm import ann, decontam, html_text, langid, licenses, pieces, sharding, simhash
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_sentencepiece": pieces.op2_sentencepiece,
     "op3_language_id": langid.op3_language_id,
     "op5_simhash": simhash.op5_simhash,
+    "op6_licenses": licenses.op6_licenses,
     "op7_decontamination": decontam.op7_decontamination,
     "op9_neighbours": ann.op9_neighbours,
     "op10_html_text": html_text.op10_html_text,
