@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from attestor.llm import ann, decontam, html_text, langid, licenses, pieces, sharding, simhash
+from attestor.llm import ann, decontam, html_text, langid, licenses, pieces, pii, sharding, simhash
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_simhash": simhash.op5_simhash,
     "op6_licenses": licenses.op6_licenses,
     "op7_decontamination": decontam.op7_decontamination,
+    "op8_personal_data": pii.op8_personal_data,
     "op9_neighbours": ann.op9_neighbours,
     "op10_html_text": html_text.op10_html_text,
 }
