@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from attestor.llm import ann, decontam, html_text, langid, licenses, pieces, pii, sharding, simhash
+from attestor.llm import ann, decontam, html_text, langid, licenses, linededup, pieces, pii, sharding, simhash
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_sentencepiece": pieces.op2_sentencepiece,
     "op3_language_id": langid.op3_language_id,
+    "op4_line_dedup": linededup.op4_line_dedup,
     "op5_simhash": simhash.op5_simhash,
     "op6_licenses": licenses.op6_licenses,
     "op7_decontamination": decontam.op7_decontamination,

@@ -1,12 +1,65 @@
-"""Corpus pipeline: written stage by stage."""
+"""Corpus pipeline: language ID, line dedup, near-dedup, decontamination, tokens; each stage is written and reread."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from attestor.llm import decontam, langid, linededup, pieces, simhash
+from attestor.llm.common import read_table, write_table
+
+#: A text that repeated chunks would cost more than this share of its characters is a copy as a whole: it stays
+#: whole, for the near-duplicate stage to settle.
+MOST_REMOVED = 0.7
 
-STAGES: list = []
 ORACLE_SQL = None
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without a language: null, empty and letterless texts. Profiles come from the docs given."""
+    named = langid.predict(docs, langid.learn(docs))
+    return named.where("lang_pred <> 'und'").select(docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes repeated chunks of lines; n_chars follows the text, and documents of which nothing is left go."""
+    out = linededup.dedup_lines(docs, most_removed=MOST_REMOVED).where("lines_removed = 0 or trim(text) <> ''")
+    return out.withColumn("n_chars", F.when(F.col("lines_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the least doc_id of each component. Rows with the same doc_id are one document."""
+    found = simhash.near_duplicates(docs)
+    kept = write_table(found.where("doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct(), "near-kept")
+    one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    out = docs.join(kept, docs.doc_id.eqNullSafe(F.col("__id")), "left_semi").withColumn("__one", one)
+    return out.where("__one = 1").select(docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a passage of the benchmark."""
+    hit = decontam.contamination(docs, read_table(spark, sf_dir, "benchmark"))
+    ids = write_table(hit.where("contaminated").select(F.col("doc_id").alias("__id")).distinct(), "contaminated")
+    return docs.join(ids, docs.doc_id.eqNullSafe(F.col("__id")), "left_anti")
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with the number and digest of their token ids and the digest of the decoded text."""
+    fields = [x for x in docs.columns if x not in ("n_tokens", "ids_sha256", "decoded_sha256")]
+    return pieces.with_digests(docs.select(fields))
+
+
+STAGES = [
+    ("language_id", language),
+    ("line_dedup", lines),
+    ("simhash_dedup", near_duplicates),
+    ("decontamination", decontaminate),
+    ("sentencepiece", tokens),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = write_table(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

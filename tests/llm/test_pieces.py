@@ -24,7 +24,7 @@ def same(text):
 @pytest.mark.parametrize(
     "text",
     ["", " ", "  ", "a", " a", "a ", "a  b   c", "\n", "a\nb\n\n c\t", "▁x ▁▁ y", "<s>", "</s> <unk> <0x0A>",
-     "\U0001f600 中文 é é", "\x00\x01", "aaaaaaaaaaaaaaaaaaaaaaaa", "The  QUICK", "x" * 3000, "1 2 3 " * 500, "  　"],
+     "\U0001f600 中文 é é", "\x00\x01", "aaaaaaaaaaaaaaaaaaaaaaaa", "The  QUICK", "x" * 3000, "the" * 20, "中文é" * 30, "ab" * 24, "ab" * 24 + "c", "1 2 3 " * 500, "  　"],
 )
 def test_like_the_library(text):
     same(text)
