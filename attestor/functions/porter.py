@@ -6,6 +6,7 @@ import functools
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 # Fixed values of the published algorithm: suffix and replacement, for a stem of measure over 0 (steps 2, 3) and over 1.
 STEP2 = "ational ate tional tion enci ence anci ance izer ize abli able alli al entli ent eli e ousli ous ization ize ation ate ator ate alism al iveness ive fulness ful ousness ous aliti al iviti ive biliti ble logi log".split()
@@ -73,6 +74,6 @@ def stem(word: str) -> str:
     return w
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def stem_all(words: pd.Series) -> pd.Series:
     return words.map(lambda ws: None if ws is None else [stem(w) for w in ws])

@@ -21,7 +21,7 @@ def rrf_fuse(lists: dict[str, DataFrame], k: int = 60, top: int | None = 20) ->
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("list", "rank")))).alias("ranks"),
         F.min(F.struct("priority", "rank")).alias("first"),
     )
-    w = Window.partitionBy("query_id").orderBy(F.desc("rrf"), "first", "doc_id")
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("rrf", 12)), "first", "doc_id")
     out = fused.withColumn("rank", F.row_number().over(w)).drop("first")
     return out if top is None else out.where(F.col("rank") <= top)
 

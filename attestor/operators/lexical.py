@@ -60,7 +60,8 @@ def bm25(index: LexicalIndex, queries: DataFrame, query_id: str, words: Column,
     if allowed is not None:
         hits = hits.join(allowed, [c for c in ("query_id", "doc_id") if c in allowed.columns], "left_semi")
     scored = hits.groupBy("query_id", "doc_id").agg((-F.sum(part)).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "doc_id"))
+    # sums in another order differ in the last places, so ties are of 9 places
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 9), "doc_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 

@@ -73,8 +73,7 @@ def candidates(claims: DataFrame, corpus: Corpus, k: int, s: Settings, dense: Da
 def match_narrations(claims: DataFrame, cands: DataFrame, corpus: Corpus, s: Settings) -> DataFrame:
     """Best narration of each claim; English claims are matched with translations, at best as a paraphrase."""
     refs = F.array(
-        F.struct(F.lit("body").alias("reference"), F.col("body_norm").alias("ref_text"), F.lit("ar").alias("l")),
-        F.struct(F.lit("full"), F.col("text_norm"), F.lit("ar")), F.struct(F.lit("en"), F.col("text_en_norm"), F.lit("en")),
+        *(F.struct(F.lit(n).alias("reference"), F.col(c).alias("ref_text"), F.lit(x).alias("l")) for n, c, x in (("body", "body_norm", "ar"), ("full", "text_norm", "ar"), ("en", "text_en_norm", "en")))
     )
     pairs = (
         cands.join(claims.select("claim_id", F.col("norm").alias("claim"), "lang"), "claim_id")
