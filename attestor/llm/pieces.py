@@ -24,8 +24,8 @@ class PieceCodec:
     constructor checks what it can see of that against the library. ``check_new`` compares each batch of words seen
     for the first time with the library and raises where they differ."""
 
-    #: Words kept in the memo of a worker; beyond that it is emptied.
-    MEMO = 250_000
+    #: Words kept in the memo of a worker; beyond that it is emptied. Characters up to which the agenda is a flat list.
+    MEMO, FLAT = 800_000, 48
 
     def __init__(self, model_file: str):
         sp = self.library = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -50,16 +50,17 @@ class PieceCodec:
             raise ValueError("only models whose pieces do not cross white space are covered")
         # Neighbouring characters that no piece holds: no merge ever crosses them.
         self.inside = {a + b for p in self.id_of for a, b in zip(p, p[1:])}
+        self.number = [str(i) for i in range(n)]
         self.ids: dict[str, str] = {}
-        self.out: dict[str, str] = {}
+        self.odd: dict[str, str] = {}  # words that are not decoded to a blank and themselves, and to what
         self.part: dict[str, list[int]] = {}
 
     def agenda(self, text: str) -> list[int]:
         """Best-scored adjacent pair first, leftmost of equal ones; entries whose symbols have changed are stale."""
         cost, n = self.cost, len(text)
-        if n == 1:
-            return self._id(text)
         sym: list[str] = list(text)
+        if n <= self.FLAT:
+            return self._flat(sym)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         heap = []
         for i in range(n - 1):
@@ -90,12 +91,34 @@ class PieceCodec:
                 out += self._id(s)
         return out
 
+    def _flat(self, sym: list[str]) -> list[int]:
+        """The agenda of a short stretch: a list of the pairs' costs in place, searched for its first least entry."""
+        get, none = self.cost.get, float("inf")
+        costs = [get(a + b, none) for a, b in zip(sym, sym[1:])]
+        while costs:
+            best = min(costs)
+            if best == none:
+                break
+            i = costs.index(best)
+            sym[i : i + 2] = [sym[i] + sym[i + 1]]
+            del costs[i]
+            if i < len(costs):
+                costs[i] = get(sym[i] + sym[i + 1], none)
+            if i:
+                costs[i - 1] = get(sym[i - 1] + sym[i], none)
+        try:
+            return [self.id_of[x] for x in sym]
+        except KeyError:
+            return [i for x in sym for i in self._id(x)]
+
     def _id(self, piece: str) -> list[int]:
         i = self.id_of.get(piece)
         return [i] if i is not None else [self.byte_id[b] for b in piece.encode()]
 
     def unit(self, text: str) -> list[int]:
         """Ids of a stretch that starts with white space (or follows none): agendas between the hard boundaries."""
+        if text[1:].isalpha():
+            return self._part(text)
         inside, at, out = self.inside, 0, []
         for i in range(1, len(text)):
             if text[i - 1 : i + 1] not in inside:
@@ -108,7 +131,7 @@ class PieceCodec:
         if got is None:
             got = self.agenda(text)
             if len(text) <= 32:
-                if len(self.part) >= self.MEMO:
+                if len(self.part) >= self.MEMO // 2:
                     self.part.clear()
                 self.part[text] = got
         return got
@@ -128,6 +151,8 @@ class PieceCodec:
 
     def pieces_text(self, ids: list[int]) -> str:
         """Pieces joined; runs of byte pieces are decoded together, bad ones as U+FFFD each."""
+        if self.bytes_of.keys().isdisjoint(ids):
+            return "".join([self.surface[i] for i in ids])
         out, held = [], bytearray()
         for i in [*ids, -1]:
             if i in self.bytes_of:
@@ -151,24 +176,29 @@ class PieceCodec:
             own = self.unit(SPACE + w)
             if own != expected and w:
                 raise RuntimeError(f"encoding of {w[:80]!r} differs from the library's")
-            self.ids[w] = ",".join(map(str, own))
-            self.out[w] = self.pieces_text(own)
+            self.ids[w] = ",".join([self.number[i] for i in own])
+            if (back := self.pieces_text(own)) != " " + w:
+                self.odd[w] = back
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """n_tokens, SHA-256 of the comma-joined ids, SHA-256 of the decoded text."""
         words = self.words(text)
         distinct = set(words)
         if len(distinct) > self.MEMO:  # a very long text goes without the memo of words
-            ids = self.encode(text)
-            return len(ids), _sha(",".join(map(str, ids))), _sha(self.decode(ids))
-        if new := distinct - self.ids.keys():
-            if len(self.ids) + len(new) > self.MEMO:
-                self.ids.clear()
-                self.out.clear()
-                new = distinct
-            self.learn(list(new))
+            all_ids = self.encode(text)
+            return len(all_ids), _sha(",".join(map(str, all_ids))), _sha(self.decode(all_ids))
+        ids = self.ids
+        if new := [w for w in distinct if w not in ids]:
+            if len(ids) + len(new) > self.MEMO:
+                ids.clear()
+                self.odd.clear()
+                new = list(distinct)
+            self.learn(new)
         joined = ",".join(map(self.ids.__getitem__, words))
-        back = "".join(map(self.out.__getitem__, words)).removeprefix(" ")
+        if not self.odd or self.odd.keys().isdisjoint(distinct):
+            back = " ".join(words)
+        else:
+            back = "".join([self.odd.get(w) or " " + w for w in words]).removeprefix(" ")
         return (joined.count(",") + 1 if joined else 0), _sha(joined), _sha(back)
 
 
@@ -228,16 +258,19 @@ def decode(df: DataFrame, ids: str = "ids", model_file: str | None = None, out:
     return _by_text(df, ids, [(out, pa.string(), "string")], lambda i: (codec(model).decode(i or []),))
 
 
+def with_digests(df: DataFrame, text: str = "text", model_file: str | None = None) -> DataFrame:
+    """Adds n_tokens, ids_sha256 and decoded_sha256 of every whole text, in one scan without a shuffle."""
+    model = model_file or default_model()
+    fields = [("n_tokens", pa.int64(), "long"), ("ids_sha256", pa.string(), "string"), ("decoded_sha256", pa.string(), "string")]
+    return _by_text(df, text, fields, lambda t: codec(model).digest(t or ""))
+
+
 def token_digests(df: DataFrame, text: str = "text", model_file: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text, in one scan without a shuffle.
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, one row for each row.
 
     Null texts count as empty (no ids). Each row is on its own: repeated rows, ties and empty tables need no care;
     columns other than doc_id and the text are ignored."""
-    model = model_file or default_model()
-    fields = [("n_tokens", pa.int64(), "long"), ("ids_sha256", pa.string(), "string"), ("decoded_sha256", pa.string(), "string")]
-    return _by_text(
-        df.select("doc_id", F.col(text).alias("__text")), "__text", fields, lambda t: codec(model).digest(t or "")
-    ).drop("__text")
+    return with_digests(df.select("doc_id", F.col(text).alias("__text")), "__text", model_file).drop("__text")
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
