@@ -16,6 +16,7 @@ from attestor.operators import fusion, lexical, score, stream_match
 from attestor.operators.align import RANK, classify, rank_of
 from attestor.operators.dense import dense_topk
 from attestor.operators.select import best_class, distinct_ratings, first_of, primary_over_secondary
+from attestor.operators.staging import staged
 
 
 @dataclass
@@ -38,7 +39,8 @@ class Corpus:
     def lexical(self, lang: str) -> lexical.LexicalIndex:
         if lang not in self.index:
             column = "text_norm" if lang == "ar" else "text_en_norm"
-            self.index[lang] = lexical.LexicalIndex.build(self.narrations, "doc_id", text.tokens(F.coalesce(F.col(column), F.lit(""))))
+            built = lexical.LexicalIndex.build(self.narrations, "doc_id", text.tokens(F.coalesce(F.col(column), F.lit(""))))
+            self.index[lang] = lexical.LexicalIndex(staged(built.postings, f"postings-{lang}"), staged(built.stats, f"stats-{lang}"))
         return self.index[lang]
 
 
@@ -106,26 +108,28 @@ def verify(posts: DataFrame, corpus: Corpus, s: Settings = Settings(), extractor
     retrieval serves only claims that the first 8 candidates don't settle."""
     cut = posts.select("post_id", F.substring(F.trim(F.coalesce("text", F.lit(""))), 1, s.max_chars).alias("text"))
     claims, _ = cl.extract(cut, extractor=extractor)
-    claims = normal_claims(claims)
+    claims = staged(normal_claims(claims), "claims")
     if corpus.verses is not None:
         verse = match_verses(claims, corpus)
     else:
         verse = None
     open_claims = claims if verse is None else claims.join(verse.select("claim_id"), "claim_id", "left_anti")
-    open_claims = open_claims.where("claim_type <> 'quran'")
-    first = match_narrations(open_claims, candidates(open_claims, corpus, 8, s), corpus, s)
+    open_claims = staged(open_claims.where("claim_type <> 'quran'"), "open-claims")
+    # What several later steps read is a table, which keeps the plan short.
+    first = staged(match_narrations(open_claims, staged(candidates(open_claims, corpus, 8, s), "candidates"), corpus, s), "matches")
     done = first.where(F.col("match_type").isin("identical", "partial") | F.col("translation_quote"))
     rest = open_claims.join(done.select("claim_id"), "claim_id", "left_anti")
-    cands = candidates(rest, corpus, s.keep_top, s, dense)
-    second = match_narrations(rest, cands, corpus, s)
+    rest = staged(rest, "rest")
+    cands = staged(candidates(rest, corpus, s.rerank_top, s, dense), "wide-candidates")
+    second = staged(match_narrations(rest, cands.where(F.col("rank") <= s.keep_top), corpus, s), "wide-matches")
     both = first.withColumn("pass", F.lit(0)).unionByName(second.withColumn("pass", F.lit(1)))
     local = first_of(both, ["claim_id"], [F.desc(rank_of(F.col("match_type"))), F.desc(F.bround("coverage", 2)), F.desc(F.bround("span_sim", 3)), F.desc("confidence"), F.col("pass")])
     good = F.col("match_type").isin("identical", "partial") | ((F.col("match_type") != "not_found") & (F.col("confidence") >= s.low_confidence))
-    local = local.where(good).select("claim_id", "doc_id", "match_type", "confidence", "diff", "translation_quote")
+    local = staged(local.where(good).select("claim_id", "doc_id", "match_type", "confidence", "diff", "translation_quote"), "local")
     grades = score.aggregate_grade(local.join(corpus.ratings, "doc_id"), ["claim_id"], included=F.col("origin") == "collection_inclusion")
     out = claims.join(local, "claim_id", "left").join(grades, "claim_id", "left").withColumn("grade_class", F.coalesce("grade_class", F.lit("unknown")))
     if corpus.cache is not None:
-        hits = match_provider(open_claims, corpus, s)
+        hits = staged(match_provider(open_claims, corpus, s), "provider")
         rated = hits.select("claim_id", F.col("mohdith").alias("rater"), F.col("grade").alias("label"), F.col("book").alias("work"), "rank")
         rated = distinct_ratings(rated, ["claim_id"], F.col("rank")).withColumn("grade_class", labels.bucket_ar(F.col("label")))
         best = first_of(hits, ["claim_id"], [F.desc(F.bround("coverage", 2)), F.desc("span_sim"), F.col("rank")])
@@ -162,7 +166,7 @@ def verify(posts: DataFrame, corpus: Corpus, s: Settings = Settings(), extractor
         "post_id", "idx", "claim_id", F.col("text").alias("claim_text"), "claim_type", "attributed_to", "lang", "match_type", F.bround("confidence", 3).alias("confidence"),
         "doc_id", "provider_id", "start_id", "end_id", F.when(F.col("match_type").isin("altered", "partial"), F.col("diff")).alias("diff"), "s.score", "s.status", "s.grade_class", "s.reasons", "notes",
     )
-    return _with_alternatives(out, cands, hits, corpus, s)
+    return _with_alternatives(staged(out, "results"), cands, hits, corpus, s)
 
 
 def _with_alternatives(out: DataFrame, cands: DataFrame, hits: DataFrame | None, corpus: Corpus, s: Settings) -> DataFrame:
