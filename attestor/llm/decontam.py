@@ -190,3 +190,16 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+SQL = f"""WITH i AS (SELECT CAST(item_id AS VARCHAR) AS id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
+s AS (SELECT id, w, least(len(w), {WINDOW}) AS n, unnest(range(1, greatest(len(w) - {WINDOW}, 0) + 2)) AS b FROM i WHERE len(w) > 0),
+p AS (SELECT DISTINCT id, n, array_to_string(list_slice(w, b, b + n - 1), ' ') AS t FROM s),
+d AS (SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE {_WORDS} END AS w FROM documents),
+x AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS b FROM d CROSS JOIN (SELECT DISTINCT n FROM p)),
+m AS (SELECT DISTINCT doc_id, b, x.n, id FROM x JOIN p ON x.n = p.n AND array_to_string(list_slice(w, b, b + x.n - 1), ' ') = t),
+h AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(b, b + n)) AS pos FROM m) GROUP BY doc_id),
+g AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(id, ',' ORDER BY id)) AS sha FROM (SELECT DISTINCT doc_id, id FROM m) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(sha, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN g USING (doc_id)"""

@@ -40,6 +40,19 @@ def test_documents_against_brute_force(spark):
     assert any(r[5] for r in got) and not all(r[5] for r in got)
 
 
+def test_documents_against_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
+    names = "doc_id, n_words, n_hit, n_items, items_sha256, contaminated"
+    want = con.execute(f"SELECT {names} FROM ({D.SQL})").fetchall()
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()
+    assert sorted(want, key=str) == brute(docs, items)
+
+
 def test_edge_cases(spark):
     ten = "a b c d e f g h i j"
     docs = [(1, None), (2, ""), (3, "x A b C d e f g h i j y"), (3, "x A b C d e f g h i j y"), (4, f"{ten} {ten} k"),
