@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +48,13 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return Written(df, name).df
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of so many rows, views of the same buffers: what Python makes of a piece stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def slot_buckets(rows: int, per_bucket: int = 4096, most: int = 65536) -> int:
     """Number of buckets of a distributed rank: grows with the rows up to a fixed size of the offset table."""
     return max(1, min(most, -(-rows // per_bucket)))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm.common import Written, read_table
+from attestor.llm.common import Written, read_table, slices
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 WINDOW = 10
@@ -61,7 +61,7 @@ def build_index(docs: DataFrame, vocabulary: set[bytes] | None, least: int = 1,
     every token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             n_words, terms, positions = [], [], []
             for t in b.column(1).cast(pa.binary()).to_pylist():
                 w = words_of(t)
@@ -105,10 +105,18 @@ def _spans(at: dict[int, str], where: dict[str, list[int]], words: list[str], st
 def search(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0) -> DataFrame:
     """doc_id, n_words, matches: array of (start, end, items) in words, for every document.
 
+    ``slop`` 0 finds exact phrases, more finds the words in order with so many others between them."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("items", pa.list_(pa.string()))]))
+    fields = [("matches", kind, "array<struct<start: int, end: int, items: array<string>>>")]
+    return _search(docs, items, window, slop, fields, lambda hits: ([{"start": s, "end": e, "items": i} for s, e, i in hits],))
+
+
+def _search(docs: DataFrame, items: DataFrame, window: int, slop: int, fields: list[tuple[str, pa.DataType, str]], per_document) -> DataFrame:
+    """doc_id, n_words and the fields made of the hits (start, end, items) of each document.
+
     The training tokens' postings are stored as a table in the shared folder. Each test phrase is looked up by its
     rarest term (by postings in that table); the offset-adjusted positions of that term are candidate starts, which
-    are intersected with the postings of the phrase's other terms, document by document. ``slop`` 0 finds exact
-    phrases, more finds the words in order with so many others between them."""
+    are intersected with the postings of the phrase's other terms, document by document."""
     phrases = Written(phrases_of(items, window).groupBy("words").agg(F.collect_set("item_id").alias("items")).withColumn("phrase", F.monotonically_increasing_id()), "phrases")
     long_, short = [
         phrases.df.where(F.size("words") == window if full else F.size("words") < window) for full in (True, False)
@@ -141,7 +149,7 @@ def search(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int =
     wanted = starts.join(phrases.df, "phrase").groupBy("rid").agg(F.collect_list(F.struct("words", "items", "starts")).alias("wanted"))
 
     def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = []
             for terms, positions, wanted in zip(*(b.column(i).to_pylist() for i in (2, 3, 4))):
                 hits = []
@@ -150,13 +158,13 @@ def search(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int =
                     for t, p in zip(terms, positions) if slop else ():
                         where.setdefault(t, []).append(p)
                     for x in wanted:
-                        hits += [{"start": s, "end": e, "items": x["items"]} for s, e in _spans(at, where, x["words"], x["starts"], slop)]
-                found.append(hits)
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("items", pa.list_(pa.string()))]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, kind)], ["doc_id", "n_words", "matches"])
+                        hits += [(s, e, x["items"]) for s, e in _spans(at, where, x["words"], x["starts"], slop)]
+                found.append(per_document(hits))
+            cols = [pa.array([f[i] for f in found], kind) for i, (_, kind, _) in enumerate(fields)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["doc_id", "n_words", *(name for name, _, _ in fields)])
 
     return index.df.join(wanted, "rid", "left").select("doc_id", "n_words", "terms", "positions", "wanted").mapInArrow(
-        intersect, "doc_id long, n_words long, matches array<struct<start: int, end: int, items: array<string>>>"
+        intersect, ", ".join(["doc_id long", "n_words long", *(f"{name} {kind}" for name, _, kind in fields)])
     )
 
 
@@ -166,26 +174,16 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     Null and empty texts have no words and are never contaminated; items without words match nothing; repeated rows
     each get their row; an empty table of items leaves every document clean; other columns are ignored."""
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            hit, n_items, sha = [], [], []
-            for matches in b.column(2).to_pylist():
-                n, end = 0, 0
-                for m in sorted(matches, key=lambda m: m["start"]):
-                    n += max(0, m["end"] - max(m["start"], end))
-                    end = max(end, m["end"])
-                ids = sorted({i for m in matches for i in m["items"]})
-                hit.append(n)
-                n_items.append(len(ids))
-                sha.append(hashlib.sha256(",".join(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(sha, pa.string()), pa.array([n > 0 for n in hit], pa.bool_())],
-                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-            )
+    def digest(hits: list[tuple[int, int, list[str]]]) -> tuple[int, int, str, bool]:
+        n, last = 0, 0
+        for start, end, _ in sorted(hits, key=lambda h: h[0]):
+            n += max(0, end - max(start, last))
+            last = max(last, end)
+        ids = sorted({i for _, _, found in hits for i in found})
+        return n, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), n > 0
 
-    return search(docs, items, window).mapInArrow(
-        digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-    )
+    fields = [("n_hit", pa.int64(), "long"), ("n_items", pa.int64(), "long"), ("items_sha256", pa.string(), "string"), ("contaminated", pa.bool_(), "boolean")]
+    return _search(docs, items, window, 0, fields, digest)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm.common import read_table
+from attestor.llm.common import read_table, slices
 
 #: N-grams in a profile, of a language and of a document. An n-gram absent from a language's profile is this far off.
 PROFILE = 300
@@ -107,14 +108,12 @@ def learn(docs: DataFrame, size: int = PROFILE) -> Profiles:
         held: dict[str, dict[int, int]] = {}
 
         def rows() -> pa.RecordBatch:
-            flat = [(lang, c, n) for lang, d in held.items() for c, n in d.items()]
+            langs = pa.array([lang for lang, d in held.items() for _ in range(len(d))], pa.string())
+            codes, sums = [np.fromiter(chain.from_iterable(x), np.int64) for x in (held.values(), (d.values() for d in held.values()))]
             held.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in flat], pa.string()), pa.array([x[1] for x in flat], pa.int64()), pa.array([x[2] for x in flat], pa.int64())],
-                ["lang", "code", "n"],
-            )
+            return pa.RecordBatch.from_arrays([langs, pa.array(codes), pa.array(sums)], ["lang", "code", "n"])
 
-        for b in batches:
+        for b in slices(batches):
             by: dict[str, list] = {}
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 by.setdefault(lang, []).append(ngram_counts(text))
@@ -122,7 +121,7 @@ def learn(docs: DataFrame, size: int = PROFILE) -> Profiles:
                     _merge(held.setdefault(lang, {}), by.pop(lang))
             for lang, parts in by.items():
                 _merge(held.setdefault(lang, {}), parts)
-            if sum(map(len, held.values())) > 500_000:
+            if sum(map(len, held.values())) > 200_000:
                 yield rows()
         if held:
             yield rows()
@@ -153,7 +152,7 @@ def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
     types, at = dict(docs.dtypes), names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             got = [profiles.predict(t) for t in b.column(at).to_pylist()]
             cols = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], [*names, "lang_pred", "score"])

@@ -12,7 +12,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm.common import read_table
+from attestor.llm.common import read_table, slices
 
 SPACE = "▁"
 
@@ -24,8 +24,8 @@ class PieceCodec:
     constructor checks what it can see of that against the library. ``check_new`` compares each batch of words seen
     for the first time with the library and raises where they differ."""
 
-    #: Words kept in the memo of a worker; beyond that it is emptied. Characters up to which the agenda is a flat list.
-    MEMO, FLAT = 800_000, 48
+    #: Words in a generation of a worker's memo (it holds two). Characters up to which the agenda is a flat list.
+    MEMO, FLAT = 200_000, 48
 
     def __init__(self, model_file: str):
         sp = self.library = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -52,6 +52,7 @@ class PieceCodec:
         self.inside = {a + b for p in self.id_of for a, b in zip(p, p[1:])}
         self.number = [str(i) for i in range(n)]
         self.ids: dict[str, str] = {}
+        self.old: dict[str, str] = {}  # the generation before, of which words in use come over
         self.odd: dict[str, str] = {}  # words that are not decoded to a blank and themselves, and to what
         self.part: dict[str, list[int]] = {}
 
@@ -131,7 +132,7 @@ class PieceCodec:
         if got is None:
             got = self.agenda(text)
             if len(text) <= 32:
-                if len(self.part) >= self.MEMO // 2:
+                if len(self.part) >= self.MEMO:
                     self.part.clear()
                 self.part[text] = got
         return got
@@ -188,12 +189,18 @@ class PieceCodec:
             all_ids = self.encode(text)
             return len(all_ids), _sha(",".join(map(str, all_ids))), _sha(self.decode(all_ids))
         ids = self.ids
-        if new := [w for w in distinct if w not in ids]:
-            if len(ids) + len(new) > self.MEMO:
-                ids.clear()
-                self.odd.clear()
-                new = list(distinct)
-            self.learn(new)
+        if missing := [w for w in distinct if w not in ids]:
+            if len(ids) + len(missing) > self.MEMO:
+                self.odd = {w: back for w, back in self.odd.items() if w in ids}
+                self.old, self.ids, missing = ids, {}, distinct
+            ids, old, new = self.ids, self.old, []
+            for w in missing:
+                if (known := old.get(w)) is None:
+                    new.append(w)
+                else:
+                    ids[w] = known
+            if new:
+                self.learn(new)
         joined = ",".join(map(self.ids.__getitem__, words))
         if not self.odd or self.odd.keys().isdisjoint(distinct):
             back = " ".join(words)
@@ -238,7 +245,7 @@ def _by_text(df: DataFrame, text: str, fields: list[tuple[str, pa.DataType, str]
     schema = ", ".join([f"`{c}` {types[c]}" for c in names] + [f"`{f}` {s}" for f, _, s in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = [per_text(t) for t in b.column(at).to_pylist()]
             cols = [pa.array([r[i] for r in rows], t) for i, (_, t, _) in enumerate(fields)]
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], [*names, *(f for f, _, _ in fields)])

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm.common import Written, read_table
+from attestor.llm.common import Written, read_table, slices
 from attestor.llm.components import connected_components
 
 SEED = 42
@@ -46,7 +46,7 @@ def fingerprints(docs: DataFrame, text: str = "text", words: int = 4) -> DataFra
     """doc_id, fp (the fingerprint as a signed long). One scan, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fps = [fingerprint(x, words) for x in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
