@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from attestor.llm import decontam, langid, linededup, pieces, simhash
 from attestor.llm.common import read_table, write_table
 
-#: A text that repeated chunks would cost more than this share of its characters is a copy as a whole: it stays
-#: whole, for the near-duplicate stage to settle.
-MOST_REMOVED = 0.7
+#: Share of its characters that a text may lose to line dedup: all, so repeated chunks go from every text.
+MOST_REMOVED = 1.0
 
 ORACLE_SQL = None
 

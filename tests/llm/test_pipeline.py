@@ -51,3 +51,14 @@ def test_stages_keep_columns_and_take_edge_cases(spark, tmp_path):
             docs = C.write_table(out, name)
         assert sorted((r.doc_id or 0) for r in docs.collect()) == ([0, 4] if data else [])
     assert len(C.STAGES) == 5 and docs.select(F.col("hash")).count() == 0
+
+
+def test_line_stage_spares_no_text(spark):
+    """Pure self-repetition, and a short document around a shared passage, lose what repeats."""
+    passage = "\n".join(f"a line of the shared passage, number {i}" for i in range(8))
+    rows = [(1, "first line\nsecond line\n" * 20 + "end"), (2, f"before it\n{passage}\nafter it"), (3, f"other words\n{passage}\nand here")]
+    docs = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: r for r in C.lines(spark, docs, "").collect()}
+    assert got[3].text == "other words\nand here" and got[2].text == rows[1][1]
+    assert got[1].text.count("first line") == 1 and got[1].text.count("second line") == 1
+    assert all(r.n_chars == len(r.text) for r in got.values())
