@@ -13,14 +13,16 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: What may be an identifier: a word with a digit, of 6 characters or more.
-CANDIDATE = r"(?<![A-Za-z0-9])[A-Za-z]{0,20}+[0-9][A-Za-z0-9._@+-]{4,62}+"
+#: What may be an identifier: a word with a digit and four signs or more after it, of any length, also after a plus.
+CANDIDATE = r"(?<![A-Za-z0-9])\+?+[A-Za-z]*+[0-9][A-Za-z0-9._@+-]{4,}+"
 KINDS = [("email", EMAIL), ("ip", IP), ("card", CARD), ("phone", PHONE), ("id", CANDIDATE)]
 CONTEXT = 64
 
 IP_PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: Least seeds of a pattern, its least confidence at the end, rounds of scoring, and what unseen instances weigh.
 SUPPORT, CONFIDENCE, ROUNDS, SMOOTH = 5, 0.8, 3, 1.0
+#: Hops end when no instance is discovered any more; more than this is an error.
+MOST_HOPS = 60
 
 
 def _matches(text: Column, kind: str, pattern: str) -> Column:
@@ -80,13 +82,12 @@ def _candidates(spans: DataFrame) -> DataFrame:
     )
 
 
-def patterns_of(before: Column, m: Column) -> Column:
-    """Lexical patterns of an instance: the last word, or last two, before it, with the signs between, and the shape
-    of the instance (runs of digits, letters and others)."""
-    shape = F.regexp_replace(F.regexp_replace(m, "[0-9]+", "9"), "[A-Za-z]+", "a")
+def patterns_of(before: Column) -> Column:
+    """Lexical patterns of an instance: the last word, or last two, before it, with the signs between. What the instance
+    itself looks like is no part of them, so a context learned from seeds of one shape finds instances of any."""
     left = F.regexp_replace(F.lower(before), "[0-9]+", "0")
     one, two = (F.regexp_extract(left, rf"((?:[^\s]+\s+){{{n}}}[^\s]*)$", 1) for n in (1, 2))
-    return F.array_distinct(F.filter(F.array(*(F.when(x != "", F.concat(F.trim(x), F.lit(" <"), shape, F.lit(">"))) for x in (one, two))), lambda x: x.isNotNull()))
+    return F.array_distinct(F.filter(F.array(*(F.when(x != "", F.trim(x)) for x in (one, two))), lambda x: x.isNotNull()))
 
 
 def bootstrap(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -94,17 +95,31 @@ def bootstrap(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Graph: pattern - instance, from every span of the corpus. Seeds weigh 1 throughout. Each round a pattern's
     confidence is the mean weight of its instances (smoothed), and an instance's weight the noisy-or of its patterns'
-    confidences; patterns with few seeds never count."""
-    candidates = write_table(_candidates(spans).select("rid", "start", "end", "m", F.explode(patterns_of(F.col("before"), F.col("m"))).alias("pattern")), "pii-candidates")
-    seeds = spans.where("base").select("m", F.explode(patterns_of(F.col("before"), F.col("m"))).alias("pattern"))
-    edges = write_table(
+    confidences; patterns with few seeds never count. What patterns of high confidence discover are seeds of the next
+    hop, in all contexts they stand in and with the able patterns found anew, until a hop discovers nothing."""
+    candidates = write_table(_candidates(spans).select("rid", "start", "end", "m", F.explode(patterns_of(F.col("before"))).alias("pattern")), "pii-candidates")
+    seeds = spans.where("base").select("m", F.explode(patterns_of(F.col("before"))).alias("pattern"))
+    every = write_table(
         seeds.withColumn("seed", F.lit(1)).unionByName(candidates.select("m", "pattern", F.lit(0).alias("seed")))
         .groupBy("pattern", "m").agg(F.max("seed").alias("seed")), "pii-edges",
     )
-    able = write_table(edges.groupBy("pattern").agg(F.sum("seed").alias("seeds")).where(F.col("seeds") >= SUPPORT).select("pattern"), "pii-able")
-    edges = write_table(edges.join(able, "pattern"), "pii-graph")
+    for _ in range(MOST_HOPS):
+        able = write_table(every.groupBy("pattern").agg(F.sum("seed").alias("seeds")).where(F.col("seeds") >= SUPPORT).select("pattern"), "pii-able")
+        edges = write_table(every.join(able, "pattern"), "pii-graph")
+        kept = _scores(edges).where(F.col("confidence") >= CONFIDENCE)
+        new = write_table(edges.where("seed = 0").join(kept, "pattern").select("m", F.lit(1).alias("new")).distinct(), "pii-discovered")
+        if new.isEmpty():
+            break
+        every = write_table(every.join(new, "m", "left").select("pattern", "m", F.greatest("seed", F.coalesce("new", F.lit(0))).alias("seed")), "pii-edges")
+    else:
+        raise RuntimeError(f"personal data: instances were still discovered after {MOST_HOPS} hops")
+    found = candidates.join(kept, "pattern").select("rid", "start", "end").distinct()
+    return kept, found
+
+
+def _scores(edges: DataFrame) -> DataFrame:
+    """(pattern, confidence) after the rounds of one hop. edges: pattern, m, seed."""
     weighted = edges.withColumn("w", F.col("seed").cast("double"))
-    scores = None
     for r in range(ROUNDS):
         scores = write_table(
             weighted.groupBy("pattern").agg((F.sum("w") / (F.count(F.lit(1)) + SMOOTH)).alias("confidence")), "pii-scores"
@@ -115,9 +130,7 @@ def bootstrap(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
         unseen = edges.where("seed = 0").join(scores, "pattern").groupBy("m").agg((1 - F.exp(odds)).alias("w"))
         unseen = write_table(unseen, "pii-weights")
         weighted = edges.join(unseen, "m", "left").withColumn("w", F.when(F.col("seed") == 1, 1.0).otherwise(F.coalesce("w", F.lit(0.0))))
-    kept = scores.where(F.col("confidence") >= CONFIDENCE)
-    found = candidates.join(kept, "pattern").select("rid", "start", "end").distinct()
-    return kept, found
+    return scores
 
 
 def personal_data(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -71,6 +71,26 @@ def test_unseen_identifiers_are_discovered(spark):
     assert all(got[i].startswith("card:") and "," not in got[i] for i in range(8))
 
 
+def test_discoveries_of_other_shapes_make_new_patterns(spark):
+    """Two hops: cards teach "number", the tokens found there teach "token =", which no base seed stands in."""
+    cards = ["4111111111111111", "5500005555555559", "4012888888881881", "378282246310005", "6011000990139424", "3530111333300000", "4222222222222", "5105105105105100"] + [
+        c for c in (f"40000000000{i:05d}" for i in range(400)) if luhn(c)
+    ]
+    tokens = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(40)]
+    tokens = [t for t in tokens if re.match("[0-9]{2}|[a-f]+[0-9]", t)][:7]
+    rows = [(i, f"please charge account number {c} today") for i, c in enumerate(cards)]
+    rows += [(1000 + i, f"see account number {t} there") for i, t in enumerate(tokens[:6])]
+    rows += [(2000 + i, f'set token = "{t}" here') for i, t in enumerate(tokens)]
+    rows += [(3000, "see account number +12-345 and"), (3001, "see account number " + "x9" * 60 + " and")]
+    got = {r.doc_id: r.spans for r in P.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    text = dict(rows)
+    for d in got:
+        if d >= 1000:
+            (span,) = got[d].split(",")
+            kind, start, end = span.split(":")
+            assert kind == "id" and text[d][int(start) : int(end)] in [*tokens, "+12-345", "x9" * 60]
+
+
 @pytest.mark.parametrize("columns", ["Python", "Pandas", "Arrow"])
 def test_main_path_is_native(spark, columns, capsys):
     P.op8_personal_data(spark, "/root/testdata/sf0.001").explain()
