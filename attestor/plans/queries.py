@@ -389,7 +389,7 @@ def prepare_post(t):
 
 @query()
 def classify_pairs(t):
-    c = _bm25(t, 3).join(t("benchmark").select(F.col("item_id").alias("query_id"), norm().alias("claim")), "query_id").join(t("documents").select("doc_id", norm().alias("ref_text")), "doc_id")
+    c = _bm25(t, 8).join(t("benchmark").select(F.col("item_id").alias("query_id"), norm().alias("claim")), "query_id").join(t("documents").select("doc_id", norm().alias("ref_text")), "doc_id")
     got = align.classify(c.withColumns({"reference": F.lit("full"), "rerank": F.lit(None).cast("double")}), ["query_id", "doc_id"])
     return got.select("query_id", "doc_id", "match_type", F.round("span_sim", 6).alias("span_sim"), F.round("coverage", 6).alias("coverage"), "start", "end", F.size("diff").alias("n_diff"))
 

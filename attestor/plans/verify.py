@@ -83,7 +83,7 @@ def match_narrations(claims: DataFrame, cands: DataFrame, corpus: Corpus, s: Set
         .select("claim_id", "doc_id", "collection", "rank", "confidence", "claim", "lang", F.inline(refs)).where("l = lang and coalesce(ref_text, '') <> ''")
         .withColumn("rerank", F.lit(None).cast("double"))
     )
-    got = classify(pairs, ["claim_id", "doc_id"], s, cross_lang=F.col("lang") == "en")
+    got = classify(pairs, ["claim_id", "doc_id"], s, cross_lang=F.col("lang") == "en", overlap=s.same_overlap)
     got = got.join(cands, ["claim_id", "doc_id"]).join(corpus.narrations.select("doc_id", "collection"), "doc_id")
     worded = F.col("match_type").isin("identical", "partial", "altered") | F.col("translation_quote")
     got = got.withColumn("confidence", F.when(F.col("rerank").isNotNull(), F.greatest("rerank", F.when(worded, F.col("span_sim")).otherwise(0.0))).otherwise(F.when(worded, F.col("span_sim")).otherwise(0.0)))
@@ -97,7 +97,7 @@ def match_provider(claims: DataFrame, corpus: Corpus, s: Settings) -> DataFrame:
     keyed = claims.where("lang = 'ar'").select("claim_id", F.col("norm").alias("claim"), search_key(F.col("text")).alias("key"))
     hits = keyed.join(corpus.cache.select("key", "response"), "key").select("claim_id", "claim", F.posexplode("response").alias("rank", "r"))
     pairs = hits.select("claim_id", "rank", "claim", F.lit("provider").alias("reference"), F.coalesce("r.text_norm", text.normalize_ar(F.col("r.text"))).alias("ref_text"), F.lit(None).cast("double").alias("rerank"))
-    got = classify(pairs, ["claim_id", "rank"], s).join(hits.select("claim_id", "rank", "r.*"), ["claim_id", "rank"])
+    got = classify(pairs, ["claim_id", "rank"], s, overlap=s.same_overlap).join(hits.select("claim_id", "rank", "r.*"), ["claim_id", "rank"])
     return best_class(got, ["claim_id"])
 
 
