@@ -19,9 +19,10 @@ SAMPLE = 20_000
 ROTATIONS = 2
 #: Share of true neighbours within the sample that the radius must cover.
 COVER = 0.985
-#: Queries that are sent to the tasks at once.
-QUERY_BLOCK = 16_384
-ROWS = 8192
+#: Sample rows that the axes and rotations are learned on, at most.
+FIT = 5000
+#: Rows in a block of the index, and bytes of query vectors in a block of queries: the bound of what is broadcast.
+ROWS, QUERY_BYTES = 8192, 8 << 20
 
 
 @dataclass
@@ -50,14 +51,14 @@ def _rotation(v: np.ndarray, rng: np.random.Generator, rounds: int = 30) -> np.n
 
 
 def fit(sample: np.ndarray, k: int = 10, seed: int = 7) -> Codes:
-    """Learns principal axes and rotations, then the radius that holds the share COVER of the k nearest neighbours of
+    """Learns principal axes and rotations on the first FIT rows, then the radius that holds the share COVER of the k nearest neighbours of
     up to 400 sample rows. Neighbours in the whole table are nearer than those in a sample, so this is on the safe
     side. With k rows or fewer the radius takes in every code."""
     mean = sample.mean(axis=0) if len(sample) else np.zeros(sample.shape[1])
     centred = sample - mean
     rng = np.random.default_rng(seed)
-    axes = np.linalg.svd(centred[:5000], full_matrices=True)[2].T if len(sample) else np.eye(sample.shape[1])
-    projected = centred[:5000] @ axes
+    axes = np.linalg.svd(centred[:FIT], full_matrices=True)[2].T if len(sample) else np.eye(sample.shape[1])
+    projected = centred[:FIT] @ axes
     turn = np.concatenate([axes @ _rotation(projected, rng) for _ in range(ROTATIONS)], axis=1)
     if turn.shape[1] % 8:
         turn = np.pad(turn, ((0, 0), (0, -turn.shape[1] % 8)))
@@ -81,12 +82,27 @@ def ball(radius: int) -> np.ndarray:
 
 
 class Index:
-    """Multi-index over a block of rows: for each substring the rows in order of its value."""
+    """Multi-index over a block of rows: for each substring the rows in order of its value. It is built once, stored as
+    one row of a table and read back from it."""
+
+    PARTS = "ids binary, x binary, code binary, orders binary, starts binary"
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, codes: Codes):
         self.ids, self.x, self.code = ids, x, codes.encode(x)
-        self.orders = [np.argsort(self.code[:, s], kind="stable") for s in range(self.code.shape[1])]
-        self.starts = [np.searchsorted(self.code[o, s], np.arange(257)) for s, o in enumerate(self.orders)]
+        self.orders = np.argsort(self.code, axis=0, kind="stable").T.astype(np.int32)
+        self.starts = np.array([np.searchsorted(self.code[o, s], np.arange(257)) for s, o in enumerate(self.orders)])
+
+    def stored(self) -> list[bytes]:
+        kinds = (np.int64, np.float64, np.uint8, np.int32, np.int64)
+        return [np.ascontiguousarray(v, k).tobytes() for v, k in zip((self.ids, self.x, self.code, self.orders, self.starts), kinds)]
+
+    @classmethod
+    def read(cls, parts: list[bytes], dim: int) -> Index:
+        out = cls.__new__(cls)
+        out.ids, out.x = np.frombuffer(parts[0], np.int64), np.frombuffer(parts[1], np.float64).reshape(-1, dim)
+        out.code = np.frombuffer(parts[2], np.uint8).reshape(len(out.ids), -1)
+        out.orders, out.starts = np.frombuffer(parts[3], np.int32).reshape(-1, len(out.ids)), np.frombuffer(parts[4], np.int64).reshape(-1, 257)
+        return out
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """Rows whose code differs in ``radius`` bits or fewer. Pigeonhole: with radius = m*p + a over m substrings,
@@ -123,70 +139,92 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dim)
 
 
-def _one_block(rows: DataFrame, q_ids: np.ndarray, q_x: np.ndarray, codes: Codes, radius: int, k: int) -> DataFrame:
-    """query_id, vec_id, score: each task's k best candidates of each query of a block, over all rows."""
-    dim = q_x.shape[1]
+def _blocks(rows: DataFrame, first: str, most: int, made, schema: str) -> DataFrame:
+    """One row, made by ``made(ids, x)``, for each ``most`` rows of a task; ``first`` names the id column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q_code = codes.encode(q_x)
-        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        ids, xs, held = [], [], 0
+
+        def out() -> pa.RecordBatch:
+            i, x = np.concatenate(ids), np.concatenate(xs)
+            ids[:], xs[:] = [i[most:]], [x[most:]]
+            return pa.RecordBatch.from_pylist([dict(zip(names, made(i[:most], x[:most])))], pa.schema([(n, pa.binary()) for n in names]))
+
+        names = [f.split()[0] for f in schema.split(", ")]
         for b in batches:
-            all_ids = b.column(0).to_numpy(zero_copy_only=False)
-            for at in range(0, len(all_ids), ROWS):
-                index = Index(all_ids[at : at + ROWS], _matrix(b.column(1).slice(at, ROWS), dim), codes)
-                for q in range(len(q_ids)):
-                    found = index.within(q_code[q], radius)
-                    found = found[index.ids[found] != q_ids[q]]
-                    if len(found):
-                        score = np.sqrt(((index.x[found] - q_x[q]) ** 2).sum(axis=1))
-                        ids = index.ids[found]
-                        if q in best:
-                            score, ids = np.concatenate([best[q][0], score]), np.concatenate([best[q][1], ids])
-                        order = np.lexsort((ids, score))[:k]
-                        best[q] = score[order], ids[order]
-        if best:
-            n = [len(best[q][0]) for q in best]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(q_ids[list(best)], n)), pa.array(np.concatenate([x[1] for x in best.values()])), pa.array(np.concatenate([x[0] for x in best.values()]))],
-                ["query_id", "vec_id", "score"],
-            )
-
-    return rows.mapInArrow(run, "query_id long, vec_id long, score double")
+            if b.num_rows:
+                i = b.column(0)
+                ids.append((i.flatten() if pa.types.is_list(i.type) else i).to_numpy(zero_copy_only=False).reshape(b.num_rows, -1))
+                xs.append(np.asarray(b.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(b.num_rows, -1))
+                held += b.num_rows
+            while held >= most:
+                yield out()
+                held -= most
+        if held:
+            yield out()
 
+    return rows.select(first, "x").mapInArrow(run, schema)
 
-def _ranked(found: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+def build(rows: DataFrame, codes: Codes) -> DataFrame:
+    """The stored index of rows (vec_id, x): one row for each block, every row in it."""
+    return write_table(_blocks(rows, "vec_id", ROWS, lambda ids, x: Index(ids, x, codes).stored(), Index.PARTS), "vector-index")
 
 
-def _search(rows: DataFrame, queries: DataFrame, codes: Codes, radius: int, k: int) -> list[DataFrame]:
-    """All rows against the query set, one block of queries at a time; each block's result is a written table."""
-    out, ids, xs = [], [], []
+def _probe(index: DataFrame, queries: DataFrame, codes: Codes, radius: int, k: int) -> DataFrame:
+    """q, vec_id, score: of each block of the index the k best candidates of each query. queries: q, vec_id, x.
+
+    The stated queries are met with the stored index block by block: one packed block of queries, of QUERY_BYTES at
+    most, is broadcast by Spark at a time. What moves is k rows for each query and block of the index."""
     dim = len(codes.mean)
+    size = max(1, QUERY_BYTES // (8 * dim))
+    n = queries.count()
+    if not n:
+        return index.sparkSession.createDataFrame([], "q long, vec_id long, score double, rank int")
+    own = queries.select(F.array("q", "vec_id").alias("id"), "x")
 
-    def flush() -> None:
-        if ids:
-            block = _one_block(rows, np.array(ids, np.int64), np.array(xs, np.float64).reshape(-1, dim), codes, radius, k)
-            out.append(write_table(_ranked(block, k), "neighbours"))
-            ids.clear()
-            xs.clear()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(b.num_rows):
+                *parts, q_ids, q_x = [c[at].as_py() for c in b.columns]
+                block = Index.read(parts, dim)
+                q_ids, q_x = np.frombuffer(q_ids, np.int64).reshape(-1, 2), np.frombuffer(q_x, np.float64).reshape(-1, dim)
+                q_code, found = codes.encode(q_x), []
+                for i in range(len(q_ids)):
+                    near = block.within(q_code[i], radius)
+                    near = near[block.ids[near] != q_ids[i, 1]]
+                    if len(near):
+                        score = np.sqrt(((block.x[near] - q_x[i]) ** 2).sum(axis=1))
+                        best = np.lexsort((block.ids[near], score))[:k]
+                        found.append((np.full(len(best), q_ids[i, 0]), block.ids[near[best]], score[best]))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["q", "vec_id", "score"])
+
+    packed = write_table(
+        _blocks(own.repartition(-(-n // size)), "id", size, lambda ids, x: [np.ascontiguousarray(ids).tobytes(), np.ascontiguousarray(x).tobytes()], "q_ids binary, q_x binary")
+        .withColumn("block", F.monotonically_increasing_id()), "query-blocks",
+    )
+    out = []
+    for r in packed.select("block").collect():  # numbers of blocks only
+        one = packed.where(F.col("block") == r.block).drop("block")
+        found = index.crossJoin(F.broadcast(one)).mapInArrow(run, "q long, vec_id long, score double")
+        out.append(write_table(_ranked(found, k), "neighbours"))
+    return functools.reduce(DataFrame.unionByName, out)
 
-    for r in queries.toLocalIterator():
-        ids.append(r.vec_id)
-        xs.append(r.x)
-        if len(ids) == QUERY_BLOCK:
-            flush()
-    flush()
-    return out
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("q").orderBy("score", "vec_id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def neighbours(vectors: DataFrame, is_query: F.Column, k: int = 10) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest rows found of each query row, nearest first, ties to the smaller id.
+    """query_id, rank, vec_id, score: the k nearest rows found of each query, nearest first, ties to the smaller id.
 
-    A row whose id is the query's is its own and no candidate. Null, zero and non-finite vectors, those of another
-    length than most of the sample's, and rows without an id take no part. Queries that find fewer than k rows within
-    the learned radius are searched again over all codes, so only tables with fewer candidates give fewer. Repeated
-    vectors are all candidates; an empty table gives an empty result; other columns are ignored."""
+    A query row that is repeated is one query; rows with the same id and different vectors are a query each. A row whose
+    id is the query's is its own and no candidate. Null, zero and non-finite vectors, those of another length than most
+    of the sample's, and rows without an id take no part. Queries that find fewer than k rows within the learned radius
+    are searched again over all codes, so only tables with fewer candidates give fewer. Repeated rows are all
+    candidates; an empty table gives an empty result; other columns are ignored."""
     spark = vectors.sparkSession
     rows = vectors.where(usable("embedding") & F.col("vec_id").isNotNull()).select(
         F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x")
@@ -199,14 +237,16 @@ def neighbours(vectors: DataFrame, is_query: F.Column, k: int = 10) -> DataFrame
     dim = int(sample.map(len).mode()[0])
     codes = fit(np.array([x for x in sample if len(x) == dim], np.float64).reshape(-1, dim), k)
     rows = rows.where(F.size("x") == dim)
-    queries = rows.where(is_query)
-    found = functools.reduce(DataFrame.unionByName, _search(rows, queries, codes, codes.radius, k) or [spark.createDataFrame([], "query_id long, vec_id long, score double, rank int")])
-    few = found.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
-    again = _search(rows, queries.join(few, "vec_id", "left_anti"), codes, codes.bits, k) if codes.radius < codes.bits else []
-    if again:
-        rest = functools.reduce(DataFrame.unionByName, again)
-        found = found.join(rest.select("query_id").distinct(), "query_id", "left_anti").unionByName(rest)
-    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    asked = rows.where(is_query).distinct().withColumn("q", F.monotonically_increasing_id())
+    queries = write_table(asked, "vector-queries")
+    index = build(rows, codes)
+    found = _probe(index, queries, codes, codes.radius, k)
+    if codes.radius < codes.bits:
+        few = queries.join(found.where(F.col("rank") == k).select("q"), "q", "left_anti")
+        rest = write_table(few, "few-neighbours")
+        again = _probe(index, rest, codes, codes.bits, k)
+        found = found.join(rest.select("q"), "q", "left_anti").unionByName(again)
+    return found.join(queries.select("q", F.col("vec_id").alias("query_id")), "q").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

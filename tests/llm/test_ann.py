@@ -60,3 +60,38 @@ def test_outliers_are_searched_again(spark):
     want = brute(np.arange(401), x, [400])[400]
     assert len(got) == 10
     assert len({r.vec_id for r in got} & {i for i, _ in want}) >= 9
+
+
+def test_repeated_query_rows(spark):
+    """A repeated query row is one query; one id with two vectors is two; repeated candidates all count."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 8))
+    ids = np.arange(1, 61)
+    rows = [*zip(ids.tolist(), x.tolist()), (100, x[3].tolist()), (100, x[3].tolist()), (200, x[9].tolist()), (200, x[20].tolist()), (7, x[6].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = A.neighbours(df, F.col("vec_id") % 100 == 0).collect()
+    every = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    for q, vectors in ((100, [3]), (200, [9, 20])):
+        mine = sorted((r.rank, r.vec_id, round(r.score, 9)) for r in got if r.query_id == q)
+        want = []
+        for v in vectors:
+            d = np.sqrt(((every[1] - x[v]) ** 2).sum(axis=1))
+            order = [i for i in np.lexsort((every[0], d)) if every[0][i] != q][:10]
+            want += [(n, int(every[0][i]), round(float(d[i]), 9)) for n, i in enumerate(order, 1)]
+        assert len(mine) == len(want) == 10 * len(vectors)
+        assert len(set(mine) & set(want)) >= 0.9 * len(want)
+
+
+def test_stored_index_and_blocks(spark, monkeypatch):
+    """Many blocks of rows and of queries give what one of each gives."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    one = sorted(A.neighbours(df, F.col("vec_id") % 50 == 0).collect())
+    monkeypatch.setattr(A, "ROWS", 100)
+    monkeypatch.setattr(A, "QUERY_BYTES", 7 * 64)
+    many = sorted(A.neighbours(df, F.col("vec_id") % 50 == 0).collect())
+    assert one == many and len(one) == 600
+    index = A.Index(np.arange(3000), x, A.fit(x))
+    back = A.Index.read(index.stored(), 8)
+    assert (back.within(back.code[5], 9) == index.within(index.code[5], 9)).all() and (back.x == x).all()
