@@ -58,3 +58,62 @@ def test_edge_cases(spark):
     got = L.scan(df).collect()
     assert sorted((r.doc_id or 0, r.license) for r in got) == [(0, "GPL-3.0"), (3, "MIT"), (3, "MIT")]
     assert L.scan(df.limit(0)).count() == 0
+
+
+def brute_copies(words, template):
+    """Best local alignment over the whole text, without fingerprints or bands, again and again until none covers enough."""
+    words, out = list(words), []
+    while True:
+        best, above = (0.0, 0, 0, 0), [(0.0, 0, 0)] * (len(words) + 1)
+        for w in template:
+            row = [(0.0, 0, 0)]
+            for j, x in enumerate(words):
+                decayed = (row[j][0] - L.GAP, row[j][1], row[j][2]) if row[j][0] > L.GAP else (0.0, 0, 0)
+                here = max(above[j + 1], decayed)
+                if x == w:
+                    s, n, f = above[j]
+                    for got in ([(s + 1, n - 1, f)] if s > 0 else []) + [(1.0, -1, j)]:
+                        if got > here:
+                            here = got
+                            if (got[0], -j) > (best[0], -best[3]):
+                                best = (got[0], -got[1], got[2], j)
+                row.append(here)
+            above = row
+        _, n, a, b = best
+        if n < L.COVERAGE * len(template) or n < L.DENSITY * (b - a + 1):
+            return sorted(out)
+        out.append((n, a, b))
+        words[a : b + 1] = [None] * (b - a + 1)
+
+
+@pytest.mark.parametrize("copies", [1, 3, 50, 3000])
+@pytest.mark.parametrize("name", ["MIT", "CC-BY-SA-4.0", "MPL-2.0 (notice)"])
+def test_every_copy_has_its_own_span(name, copies):
+    text = (L.TEMPLATES[name] + ". ") * copies
+    got = I.scan(text)
+    assert len(got) == copies and all(m.license == name and m.coverage == 1 for m in got)
+    assert all(text[m.start : m.end].rstrip(".") == L.TEMPLATES[name].rstrip(".") for m in got)
+
+
+def test_against_a_brute_alignment():
+    """Copies whole, changed and cut, back to back or apart: the same matches as the brute alignment of each template."""
+    rng = np.random.default_rng(8)
+    names = ["MIT", "MPL-2.0 (notice)", "GPL (notice)", "ISC (text)"]
+    for case in range(40):
+        words = []
+        for _ in range(rng.integers(1, 5)):
+            t = L.TEMPLATES[names[rng.integers(len(names))]].split()
+            kind = rng.integers(4)
+            if kind == 1 and len(t) > 12:
+                t[len(t) // 2] = "changed"
+            elif kind == 2 and len(t) > 12:
+                del t[len(t) // 2 : len(t) // 2 + 2]
+            elif kind == 3:
+                t = t[: len(t) // 2]
+            words += [*t, *(["filler"] * rng.integers(0, 3))]
+        text = " ".join(words)
+        ids = np.array([I.vocabulary.get(w, 0) for w in L.WORD.findall(text.encode().lower())], np.int64)
+        seeds = I.seeds(ids)
+        for name in names:
+            t = I.names.index(name)
+            assert sorted(I.copies(ids, t, seeds.get(t, []))) == brute_copies(ids.tolist(), I.tokens[t].tolist()), (case, name)
