@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,8 +40,11 @@ CHROME_NAMES = frozenset(
     notices pagination pager popup promo promotion related reply replies respond search share sharing sidebar signup
     social sponsor sponsored subscribe subscription toolbar widget widgets""".split()
 )
-#: Thresholds: characters of a short and of a long block; stop-word densities; share of characters in links.
-SHORT, LONG, LOW, HIGH, LINKS = 70, 200, 0.30, 0.32, 0.20
+#: Parts of a class name that speak for content.
+CONTENT_NAMES = frozenset("article body content entry main post story text".split())
+#: Thresholds: characters of a short and of a long block; stop-word densities; share of characters in links. A sign of
+#: a script written without spaces counts as so many.
+SHORT, LONG, LOW, HIGH, LINKS, WIDE = 70, 200, 0.30, 0.32, 0.20, 3
 
 TOKEN = re.compile(
     r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"""
@@ -50,6 +55,9 @@ TOKEN = re.compile(
 NAMES = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 PARTS = re.compile(r"[a-z]+")
 WORDS = re.compile(r"[^\W\d_]+")
+#: Letters beyond the Latin ones, whose languages the stop words leave out; signs of scripts without spaces.
+OTHER = re.compile("[^\\W\\d_\u0000-\u024f\u1e00-\u1eff]")
+NO_SPACES = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff]")
 ENDS = {t: re.compile(f"</{t}(?=[\\s/>]|\\Z)", re.I) for t in RAW_TAGS}
 
 
@@ -59,29 +67,46 @@ class Block:
     words: int
     stops: int
     linked: int
+    size: int
+    foreign: bool
     chrome: bool
+    weak: bool
     main: int
     heading: bool
     label: str = ""
 
 
-def _is_chrome(tag: str, attrs: str, in_main: bool) -> bool:
+NONE, WEAK, CHROME = 0, 1, 2
+
+
+def _kind(tag: str, attrs: str, in_main: bool) -> int:
+    """What an element says of its text: CHROME by its tag, or by a class, id or role whose last part (or first, unless
+    the last speaks for content) is such a name; WEAK where names speak for both: then the text's own rules decide."""
     if tag in CHROME_TAGS or (tag == "header" and not in_main):
-        return True
+        return CHROME
     if "=" not in attrs or tag in ("html", "body") or tag in MAIN_TAGS:
-        return False
+        return NONE
+    found, content = NONE, False
     for value in NAMES.findall(attrs):
-        if not CHROME_NAMES.isdisjoint(PARTS.findall(value.lower())) and not (in_main and "header" in value.lower()):
-            return True
-    return False
+        for token in value.lower().strip("\"'").split():
+            parts = PARTS.findall(token)
+            if not parts or (in_main and "header" in parts):
+                continue
+            content |= len(parts) == 1 and parts[0] in CONTENT_NAMES
+            if parts[-1] in CHROME_NAMES or (parts[0] in CHROME_NAMES and parts[-1] not in CONTENT_NAMES):
+                found = CHROME
+            elif found == NONE and not CHROME_NAMES.isdisjoint(parts):
+                found = WEAK
+    return WEAK if found and content else found
 
 
 def blocks_of(page: str) -> list[Block]:
     """Blocks in page order: runs of text between block-level tags, with what is needed to judge them. Character
     references are decoded once; comments, scripts and other raw elements go; open ends run to the end."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, opens a chrome part, opens a main part
-    chrome = main = anchors = headings = 0
+    stack: list[tuple[str, int, bool]] = []  # tag, kind, opens a main part
+    depth: Counter[str] = Counter()  # open elements by tag
+    chrome = weak = main = anchors = headings = 0
     region = -1  # the main part that is open, by number
     regions = 0
     held: list[tuple[str, bool]] = []
@@ -93,20 +118,26 @@ def blocks_of(page: str) -> list[Block]:
             if text:
                 words = [w.lower() for w in WORDS.findall(text)]
                 linked = sum(len(" ".join(t.split())) for t, a in held if a)
-                out.append(Block(text, len(words), sum(w in STOP_WORDS for w in words), linked, chrome > 0, region if main else -1, headings > 0))
+                size, foreign = len(text), False
+                if not text.isascii():
+                    foreign = 2 * len(OTHER.findall(text)) > sum(map(len, words))
+                    size += (WIDE - 1) * len(NO_SPACES.findall(text))
+                out.append(Block(text, len(words), sum(w in STOP_WORDS for w in words), linked, size, foreign, chrome > 0, weak > 0, region if main else -1, headings > 0))
             held = []
 
     def pop(tag: str) -> None:
-        nonlocal chrome, main, anchors, headings
-        for at in range(len(stack) - 1, -1, -1):
-            if stack[at][0] == tag:
-                for name, c, m in stack[at:]:
-                    chrome -= c
-                    main -= m
-                    anchors -= name == "a"
-                    headings -= name in ("h1", "h2", "h3", "h4", "h5", "h6")
-                del stack[at:]
-                return
+        nonlocal chrome, weak, main, anchors, headings
+        if not depth[tag]:
+            return
+        name = ""
+        while name != tag:  # each element is taken off once, so no markup takes more than its length
+            name, c, m = stack.pop()
+            depth[name] -= 1
+            chrome -= c == CHROME
+            weak -= c == WEAK
+            main -= m
+            anchors -= name == "a"
+            headings -= name in ("h1", "h2", "h3", "h4", "h5", "h6")
 
     at, end = 0, len(page)
     while at < end:
@@ -141,65 +172,62 @@ def blocks_of(page: str) -> list[Block]:
                 pop("p")
         if tag == "a" and anchors:
             pop("a")
-        c, opens = _is_chrome(tag, attrs, main > 0), tag in MAIN_TAGS or "role=\"main\"" in attrs
+        c, opens = _kind(tag, attrs, main > 0), tag in MAIN_TAGS or "role=\"main\"" in attrs
         if opens and not main:
             regions += 1
             region = regions
-        chrome += c
+        chrome += c == CHROME
+        weak += c == WEAK
+        depth[tag] += 1
         main += opens
         anchors += tag == "a"
         headings += tag in ("h1", "h2", "h3", "h4", "h5", "h6")
         stack.append((tag, c, opens))
-        if len(stack) > 4096:  # markup that only opens: the oldest inline elements are forgotten
-            stack[:] = [s for s in stack if s[1] or s[2] or s[0] == "a"][-2048:]
     flush()
     return out
 
 
 def judge(blocks: list[Block]) -> None:
-    """Pass 1 decides by place, link density, length and stop-word density; short and middling blocks stay open.
-    Pass 2 gives each open block the label of its nearest decided neighbour (the earlier of two as near, unless that
-    is boilerplate and the block middling; a heading goes with what follows it). Where a page has main parts, text outside them is boilerplate and open
-    blocks look for neighbours inside; a main part without a decided block is text."""
+    """Pass 1 decides by place, link density, length and stop-word density; short and middling blocks stay open, headings
+    too. Blocks of scripts that the stop words leave out are judged by length and links alone; blocks under names that
+    speak for and against content must be good by themselves.
+
+    Pass 2 gives each open block the label of its nearest decided neighbour (the earlier of two as near), a middling one
+    that of the better of its neighbours, a heading that of what follows it. Where a page has main parts, text outside
+    them is boilerplate, the bar inside is lower, and open blocks look for neighbours of their part; a main part in which
+    no block can be decided is text, as nothing but its tag speaks for either."""
     has_main = any(b.main >= 0 for b in blocks)
     for b in blocks:
-        share, density = b.linked / len(b.text), b.stops / max(1, b.words)
-        if b.chrome or (has_main and b.main < 0):
+        share, inside = b.linked / len(b.text), b.main >= 0
+        density = HIGH if b.foreign else b.stops / max(1, b.words)
+        if b.chrome or (has_main and not inside):
             b.label = "bad"
-        elif share > (0.5 if b.main >= 0 else LINKS):
+        elif share > (0.5 if inside else LINKS):
             b.label = "bad"
-        elif len(b.text) < SHORT or b.heading:
-            b.label = "bad" if share and b.main < 0 else "short"
+        elif b.size < SHORT or b.heading:
+            b.label = "bad" if share and not inside else "short"
         elif density >= HIGH:
-            b.label = "good" if len(b.text) > LONG or b.main >= 0 else "near"
+            b.label = "good" if b.size > LONG or inside else "near"
         else:
-            b.label = "near" if density >= LOW or b.main >= 0 else "bad"
-    decided = [i for i, b in enumerate(blocks) if b.label in ("good", "bad")]
-    before: list[int | None] = []
-    last = None
-    for i, b in enumerate(blocks):
-        before.append(last)
-        if b.label in ("good", "bad") and not (b.main >= 0 and b.label == "bad"):
-            last = i
-    after: list[int | None] = [None] * len(blocks)
-    last = None
-    for i in range(len(blocks) - 1, -1, -1):
-        after[i] = last
-        if blocks[i].label in ("good", "bad") and not (blocks[i].main >= 0 and blocks[i].label == "bad"):
-            last = i
-    final = [b.label for b in blocks]
+            b.label = "near" if density >= LOW or inside else "bad"
+        if b.weak and b.label != "good":
+            b.label = "bad"
+    first = [b.label for b in blocks]
+    # what stands in menus and the like inside a main part says nothing of the text around it
+    decided = [i for i, b in enumerate(blocks) if first[i] in ("good", "bad") and not (has_main and b.chrome)]
     for i, b in enumerate(blocks):
-        if b.label in ("good", "bad"):
+        if first[i] in ("good", "bad"):
             continue
-        near = [(abs(j - i), j) for j in ((after[i],) if b.heading and after[i] is not None else (before[i], after[i])) if j is not None and (b.main < 0 or blocks[j].main == b.main)]
+        at = bisect.bisect(decided, i)
+        near = [j for j in decided[max(0, at - 1) : at + 1] if blocks[j].main == b.main]
+        if b.heading and (later := [j for j in near if j > i]):
+            near = later
         if not near:
-            final[i] = "good" if b.main >= 0 or (b.label == "near" and not decided) else "bad"
+            b.label = "good" if b.main >= 0 or (first[i] == "near" and not decided) else "bad"
+        elif first[i] == "near" and any(first[j] == "good" for j in near):
+            b.label = "good"
         else:
-            labels = {final_label for _, j in near if (final_label := blocks[j].label)}
-            nearest = blocks[min(near)[1]].label
-            final[i] = "good" if b.label == "near" and "good" in labels else nearest
-    for b, label in zip(blocks, final):
-        b.label = label
+            b.label = first[min(near, key=lambda j: (abs(j - i), j))]
 
 
 def main_text(page: str | None) -> str:
