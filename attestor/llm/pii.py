@@ -16,7 +16,6 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: What may be an identifier: a word with a digit and four signs or more after it, of any length, also after a plus.
 CANDIDATE = r"(?<![A-Za-z0-9])\+?+[A-Za-z]*+[0-9][A-Za-z0-9._@+-]{4,}+"
 KINDS = [("email", EMAIL), ("ip", IP), ("card", CARD), ("phone", PHONE), ("id", CANDIDATE)]
-CONTEXT = 64
 
 IP_PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: Least seeds of a pattern, its least confidence at the end, rounds of scoring, and what unseen instances weigh.
@@ -25,6 +24,12 @@ SUPPORT, CONFIDENCE, ROUNDS, SMOOTH = 5, 0.8, 3, 1.0
 MOST_HOPS = 60
 
 
+def _tail(c: Column) -> Column:
+    """The last two words and what follows them, of any length. The text is turned round, so that the pattern starts
+    where it must match and takes no more time than what it finds is long."""
+    return F.reverse(F.regexp_extract(F.reverse(c), r"^\S*+(?:\s++\S++){0,2}", 0))
+
+
 def _matches(text: Column, kind: str, pattern: str) -> Column:
     """Array of (kind, i, gap, m, before): the i-th match, the code points since the one before, and the end of what
     stands there. The text is split only where something matches."""
@@ -36,7 +41,7 @@ def _matches(text: Column, kind: str, pattern: str) -> Column:
             lambda x: F.when(
                 F.size(x["m"]) > 0,
                 F.transform(
-                    F.arrays_zip(x["m"].alias("m"), F.transform(F.split(x["t"], pattern, -1), lambda p: F.struct(F.length(p).alias("n"), F.right(p, F.lit(CONTEXT)).alias("b"))).alias("p")),
+                    F.arrays_zip(x["m"].alias("m"), F.transform(F.split(x["t"], pattern, -1), lambda p: F.struct(F.length(p).alias("n"), _tail(p).alias("b"))).alias("p")),
                     lambda z, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), z["p"]["n"].cast("long").alias("gap"), z["m"].alias("m"), z["p"]["b"].alias("before")),
                 ),
             ).otherwise(F.array().cast("array<struct<kind:string,i:int,gap:bigint,m:string,before:string>>")),
@@ -86,7 +91,7 @@ def patterns_of(before: Column) -> Column:
     """Lexical patterns of an instance: the last word, or last two, before it, with the signs between. What the instance
     itself looks like is no part of them, so a context learned from seeds of one shape finds instances of any."""
     left = F.regexp_replace(F.lower(before), "[0-9]+", "0")
-    one, two = (F.regexp_extract(left, rf"((?:[^\s]+\s+){{{n}}}[^\s]*)$", 1) for n in (1, 2))
+    one, two = (F.regexp_extract(left, rf"(?s)^(?:.*\s)??((?:[^\s]++\s++){{{n}}}[^\s]*+)$", 1) for n in (1, 2))
     return F.array_distinct(F.filter(F.array(*(F.when(x != "", F.trim(x)) for x in (one, two))), lambda x: x.isNotNull()))
 
 

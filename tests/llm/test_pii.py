@@ -95,3 +95,13 @@ def test_discoveries_of_other_shapes_make_new_patterns(spark):
 def test_main_path_is_native(spark, columns, capsys):
     P.op8_personal_data(spark, "/root/testdata/sf0.001").explain()
     assert columns not in capsys.readouterr().out
+
+
+def test_context_words_of_any_length(spark):
+    """A pattern word longer than any fixed context, after line breaks, is learned and used whole."""
+    word = "account" * 40
+    cards = ["4111111111111111", "5500005555555559", "4012888888881881", "378282246310005", "6011000990139424", "3530111333300000", "4222222222222", "5105105105105100"]
+    rows = [(i, f"see\n\n{word}\n{c} now") for i, c in enumerate(cards)] + [(100, f"see\n\n{word}\n4111111111111112 now"), (101, f"see\n\nx{word[1:]}\n4111111111111113 now")]
+    got = {r.doc_id: r.spans for r in P.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    at = len(f"see\n\n{word}\n")
+    assert got[100] == f"id:{at}:{at + 16}" and got[101] == ""
