@@ -8,7 +8,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attestor.llm.common import read_table, slices
@@ -131,11 +131,12 @@ def learn(docs: DataFrame, size: int = PROFILE) -> Profiles:
         .select("lang", "text").mapInArrow(count, "lang string, code long, n long")
         .groupBy("lang", "code").agg(F.sum("n").alias("n"))
     )
-    ranked = sums.groupBy("lang").agg(
-        F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "code"))), 1, size).alias("top")
-    )
-    # One row for each language, of at most ``size`` n-grams.
-    return Profiles({r.lang: np.array([x.code for x in r.top], np.int64) for r in ranked.collect()}, size)
+    # The ranks are cut in each task before the shuffle, so no task holds all n-grams of a language.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
+    top: dict[str, list[int]] = {}
+    for r in sorted(sums.withColumn("place", place).where(F.col("place") <= size).collect(), key=lambda r: r.place):
+        top.setdefault(r.lang, []).append(r.code)
+    return Profiles({lang: np.array(codes, np.int64) for lang, codes in top.items()}, size)
 
 
 def _merge(into: dict[int, int], parts: list[tuple[np.ndarray, np.ndarray]]) -> None:
