@@ -26,23 +26,21 @@ def _step(edges: Written, large: bool) -> Written:
     return written
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """``edges`` (a, b long) -> (node, root): root is the smallest node reachable. Self loops and repeats are
-    allowed; nodes without another neighbour are not returned. An empty table gives an empty result."""
+def connected_components(edges: DataFrame) -> Written:
+    """``edges`` (a, b long) -> written table (a, b): b is the smallest node that a reaches. Self loops and repeats are
+    allowed; nodes without another neighbour and the smallest nodes themselves are not in it. An empty table gives an
+    empty result. The steps go on until nothing changes, which takes some log^2 of the nodes."""
     now = Written(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
         "edges",
     )
     mark = None
-    for _ in range(max_rounds):
+    while True:
         seen = now.df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == mark or not seen[0]:
-            break
+            return now
         mark = seen
         wide = _step(now, True)
         now.drop()
         now = _step(wide, False)
         wide.drop()
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return now.df.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -9,10 +9,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm.common import Written, read_table, slices
+from attestor.llm.common import Written, read_table, slices, write_table
 from attestor.llm.components import connected_components
 
 SEED = 42
@@ -42,15 +42,17 @@ def fingerprint(data: bytes | None, words: int = 4) -> int:
     return int.from_bytes(np.packbits(2 * total > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, text: str = "text", words: int = 4) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long). One scan, no shuffle."""
+def fingerprints(docs: DataFrame, carried: list[Column], text: str = "text", words: int = 4) -> DataFrame:
+    """The carried columns and fp (the fingerprint as a signed long). One scan, no shuffle."""
+    rows = docs.select(*carried, F.col(text).alias("text"))
+    kept = rows.schema[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            fps = [fingerprint(x, words) for x in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            fps = [fingerprint(x, words) for x in b.columns[-1].cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.array(fps, np.uint64).view(np.int64))], [*(f.name for f in kept), "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text)).mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "fp long"]))
 
 
 @functools.cache
@@ -181,26 +183,60 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(np.concatenate(ks), np.concatenate(fs))
 
 
+def _components(fp: DataFrame, least: Column) -> DataFrame:
+    """fp, least: for each distinct fingerprint the least value of ``least`` in its component. Tables that only this
+    step reads are dropped."""
+    nodes = Written(fp.groupBy("fp").agg(F.min(least).alias("least")), "fp-nodes")
+    keyed = nodes.df.select("fp").mapInArrow(_keyed, "key long, fp long")
+    edges = keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_link, "a long, b long")
+    roots = connected_components(edges)
+    # Only nodes with links need their component's smallest row; the others are their own component.
+    own = F.coalesce("root", "fp").alias("root")
+    linked = Written(nodes.df.join(roots.df.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").select("fp", own, "least"), "fp-roots")
+    top = Written(linked.df.groupBy("root").agg(F.min("least").alias("least")), "component-min")
+    named = Written(linked.df.select("fp", "root").join(top.df, "root").select("fp", "least"), "fp-components")
+    for t in (nodes, roots, linked, top):
+        t.drop()
+    return named.df
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", words: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links of 4 bits or fewer).
 
     One row for each input row. Null and empty texts have fingerprint 0 and link like any other; equal fingerprints
     are one node, so thousands of copies cost one row each and no pairs. An empty table gives an empty result; other
     columns are ignored; null doc_ids keep their row and never name a component unless all of it is null."""
-    fp = Written(fingerprints(docs, text, words), "fingerprints")
-    nodes = Written(fp.df.groupBy("fp").agg(F.min("doc_id").alias("least")), "fp-nodes")
-    keyed = nodes.df.select("fp").mapInArrow(_keyed, "key long, fp long")
-    edges = keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_link, "a long, b long")
-    roots = connected_components(edges)
-    # Only nodes with links need their component's smallest document; the others are their own component.
-    linked = Written(nodes.df.join(roots.withColumnRenamed("node", "fp"), "fp", "left"), "fp-roots")
-    own = F.coalesce("root", "fp").alias("root")
-    least = Written(linked.df.groupBy(own).agg(F.min("least").alias("component_id")), "component-min")
-    named = Written(linked.df.select("fp", own).join(least.df, "root").select("fp", "component_id"), "fp-components")
-    return fp.df.join(named.df, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    fp = Written(fingerprints(docs, [F.col("doc_id").cast("long").alias("doc_id")], text, words), "fingerprints")
+    named = _components(fp.df, F.col("doc_id"))
+    return fp.df.join(named, "fp").select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id")
     )
 
 
+#: Names of row_key().
+KEY = ["k1", "k2", "none", "id"]
+
+
+def row_key(text: str = "text", doc_id: str = "doc_id") -> list[Column]:
+    """Two hashes of the text and the doc_id, null or not: never null, so rows meet by plain equality."""
+    id_ = F.col(doc_id).cast("long")
+    cols = [F.xxhash64(text), F.xxhash64(text, F.lit("second")), id_.isNull(), F.coalesce(id_, F.lit(0))]
+    return [c.alias(name) for c, name in zip(cols, KEY)]
+
+
+def repeated_keys(docs: DataFrame, text: str = "text", words: int = 4) -> DataFrame:
+    """The row_key() of every row but that which stands for its component, as a written table without repeats.
+
+    The key that stays has the least doc_id, nulls last, then the least hashes. Different texts with the same doc_id,
+    or with none, are different keys; rows with the same text and doc_id share one. Nothing wider than keys and
+    fingerprints is moved; an empty table gives an empty result."""
+    fp = Written(fingerprints(docs, row_key(text), text, words), "fingerprints")
+    own = F.struct("none", "id", "k1", "k2")
+    gone = fp.df.join(_components(fp.df, own), "fp").where(own != F.col("least")).select(*KEY).distinct()
+    out = write_table(gone, "near-gone")
+    fp.drop()
+    return out
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
