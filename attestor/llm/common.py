@@ -16,9 +16,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset (local tests) a temporary one."""
+    """The folder named by spark.checkpoint.dir; where that is unset a temporary one, in local mode only: on a cluster the
+    executors would each write to a disk of their own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="attestor-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +16,9 @@ from attestor.llm.common import Written, read_table, slices
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 WINDOW = 10
-#: Most distinct test terms that are sent to the tasks as a set; with more, every token is indexed.
-MAX_TERMS = 2_000_000
+#: Most distinct test terms that are broadcast to the tasks as a set, which bounds it to some 100 MB. With more, every
+#: token is indexed; the results are the same.
+MAX_TERMS = 1_000_000
 
 
 def words_of(data: bytes | None) -> list[bytes]:
@@ -53,25 +55,26 @@ def _in_runs(mask: np.ndarray, least: int) -> np.ndarray:
     return out
 
 
-def build_index(docs: DataFrame, vocabulary: set[bytes] | None, least: int = 1, short: tuple[set[bytes], int] | None = None) -> DataFrame:
-    """doc_id, n_words, terms, positions: the postings of each document, one entry for each token kept.
+def build_index(docs: DataFrame, vocabulary: Broadcast | None, least: int = 1, short: tuple[Broadcast, int] | None = None) -> DataFrame:
+    """doc_id (as it is given), n_words, terms, positions: the postings of each document, one entry for each token kept.
 
-    Kept are tokens of the vocabulary that stand in a run of at least ``least`` such tokens (``short``: a second
+    Kept are tokens of the vocabulary (a broadcast set) that stand in a run of at least ``least`` such tokens (``short``: a second
     vocabulary with its own run length); a phrase of that many words can stand nowhere else. No vocabulary keeps
     every token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, few = vocabulary and vocabulary.value, short and short[0].value
         for b in slices(batches):
             n_words, terms, positions = [], [], []
             for t in b.column(1).cast(pa.binary()).to_pylist():
                 w = words_of(t)
                 n_words.append(len(w))
-                if vocabulary is None:
+                if known is None:
                     at = range(len(w))
                 else:
-                    keep = _in_runs(np.fromiter((x in vocabulary for x in w), bool, len(w)), least)
-                    if short and short[0]:
-                        keep |= _in_runs(np.fromiter((x in short[0] for x in w), bool, len(w)), short[1])
+                    keep = _in_runs(np.fromiter((x in known for x in w), bool, len(w)), least)
+                    if few:
+                        keep |= _in_runs(np.fromiter((x in few for x in w), bool, len(w)), short[1])
                     at = np.flatnonzero(keep).tolist()
                 terms.append([w[i].decode() for i in at])
                 positions.append(list(at))
@@ -80,8 +83,8 @@ def build_index(docs: DataFrame, vocabulary: set[bytes] | None, least: int = 1,
                 ["doc_id", "n_words", "terms", "positions"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n_words long, terms array<string>, positions array<int>"
+    return docs.select("doc_id", "text").mapInArrow(
+        run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, terms array<string>, positions array<int>"
     )
 
 
@@ -124,13 +127,14 @@ def _search(docs: DataFrame, items: DataFrame, window: int, slop: int, fields: l
     terms = [x.select(F.explode("words").alias("term")).distinct() for x in (long_, short)]
     few = sum(x.count() for x in terms) <= MAX_TERMS
     shortest = short.agg(F.min(F.size("words"))).first()[0] or 1
+    send = docs.sparkSession.sparkContext.broadcast
     v_long, v_short = [{r.term.encode() for r in x.toLocalIterator()} if few else None for x in terms]
     if slop and few:
         v_long, v_short, window_run, shortest = v_long | v_short, set(), 1, 1
     else:
         window_run = window
     index = Written(
-        build_index(docs, v_long, window_run, (v_short, shortest) if few else None).withColumn("rid", F.monotonically_increasing_id()),
+        build_index(docs, send(v_long) if few else None, window_run, (send(v_short), shortest) if few else None).withColumn("rid", F.monotonically_increasing_id()),
         "postings",
     )
     postings = index.df.select("rid", F.explode(F.arrays_zip("terms", "positions")).alias("p")).select("rid", F.col("p.terms").alias("term"), F.col("p.positions").alias("pos"))
@@ -164,7 +168,7 @@ def _search(docs: DataFrame, items: DataFrame, window: int, slop: int, fields: l
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["doc_id", "n_words", *(name for name, _, _ in fields)])
 
     return index.df.join(wanted, "rid", "left").select("doc_id", "n_words", "terms", "positions", "wanted").mapInArrow(
-        intersect, ", ".join(["doc_id long", "n_words long", *(f"{name} {kind}" for name, _, kind in fields)])
+        intersect, ", ".join([f"doc_id {dict(index.df.dtypes)['doc_id']}", "n_words long", *(f"{name} {kind}" for name, _, kind in fields)])
     )
 
 
@@ -172,7 +176,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, one row for each document row.
 
     Null and empty texts have no words and are never contaminated; items without words match nothing; repeated rows
-    each get their row; an empty table of items leaves every document clean; other columns are ignored."""
+    each get their row; an empty table of items leaves every document clean; other columns are ignored. doc_id may be
+    of any type (a struct of hashes where ids are null or repeat) and comes back as it is."""
 
     def digest(hits: list[tuple[int, int, list[str]]]) -> tuple[int, int, str, bool]:
         n, last = 0, 0
@@ -187,7 +192,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    docs = read_table(spark, sf_dir, "documents").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return contamination(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

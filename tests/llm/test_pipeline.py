@@ -62,3 +62,19 @@ def test_line_stage_spares_no_text(spark):
     assert got[3].text == "other words\nand here" and got[2].text == rows[1][1]
     assert got[1].text.count("first line") == 1 and got[1].text.count("second line") == 1
     assert all(r.n_chars == len(r.text) for r in got.values())
+
+
+def test_equal_and_null_ids_are_no_reason_to_drop(spark, tmp_path):
+    """Different texts with one id, or none, stay; rows that tie in id and text are one document."""
+    spark.createDataFrame([(1, "the passage of a benchmark that nobody should have seen before now")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, "alpha beta gamma delta epsilon one"), (None, "quite another document with other words"), (None, "a third one that shares nothing at all"), (None, "a third one that shares nothing at all"),
+            (5, "five is here with words of its own"), (5, "and the other five says something else"), (5, "and the other five says something else"), (6, "five is here with words of its own"),
+            (None, "here is the passage of a benchmark that nobody should have seen before now again")]
+    docs = spark.createDataFrame([(*r, {"k": 1}, 7) for r in rows], "doc_id long, text string, none map<string, int>, k1 int")
+    near = C.near_duplicates(spark, docs, str(tmp_path))
+    assert near.columns == docs.columns
+    kept = C.write_table(near, "near")
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted({(d or 0, t) for d, t in rows if d != 6})
+    clean = C.decontaminate(spark, kept, str(tmp_path))
+    assert clean.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in clean.collect()) == sorted({(d or 0, t) for d, t in rows[:7]})
