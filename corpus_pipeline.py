@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attestor.llm import decontam, langid, linededup, pieces, simhash
@@ -26,20 +26,30 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.when(F.col("lines_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
+def _whole(docs: DataFrame, key: list[Column]) -> DataFrame:
+    """Key columns and ``doc``, the whole row: no name of the documents can clash with those of the key."""
+    return docs.select(*key, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least doc_id of each component. Rows with the same doc_id are one document."""
-    found = simhash.near_duplicates(docs)
-    kept = write_table(found.where("doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct(), "near-kept")
-    one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    out = docs.join(kept, docs.doc_id.eqNullSafe(F.col("__id")), "left_semi").withColumn("__one", one)
-    return out.where("__one = 1").select(docs.columns)
+    """Keeps one document of each component: that with the least doc_id, nulls last. Different texts that share a doc_id,
+    or have none, are different documents; of rows with the same text and doc_id one stays.
+
+    What goes is settled on hashes. The texts then move once: the choice among repeated rows and the join with what goes
+    have the same keys. What goes grows with the documents, so it is merged at every size and not broadcast."""
+    gone = simhash.repeated_keys(docs)
+    ties = [F.col(f"doc.`{c}`") for c, kind in docs.dtypes if c != "text" and "map<" not in kind and kind != "variant"]
+    one = F.row_number().over(Window.partitionBy(*simhash.KEY).orderBy(F.xxhash64(*ties)))
+    rows = _whole(docs, simhash.row_key()).withColumn("one", one).where("one = 1")
+    return rows.join(gone.hint("merge"), simhash.KEY, "left_anti").select("doc.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a passage of the benchmark."""
-    hit = decontam.contamination(docs, read_table(spark, sf_dir, "benchmark"))
-    ids = write_table(hit.where("contaminated").select(F.col("doc_id").alias("__id")).distinct(), "contaminated")
-    return docs.join(ids, docs.doc_id.eqNullSafe(F.col("__id")), "left_anti")
+    """Drops documents that hold a passage of the benchmark. Texts are told apart by two hashes, not by doc_id."""
+    key = simhash.row_key()[:2]
+    hit = decontam.contamination(docs.select(F.struct(*key).alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"))
+    gone = write_table(hit.where("contaminated").select("doc_id.*").distinct(), "contaminated")
+    return _whole(docs, key).join(gone, simhash.KEY[:2], "left_anti").select("doc.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
