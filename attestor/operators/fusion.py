@@ -38,6 +38,7 @@ def rerank(candidates: DataFrame, query: str, doc: str, scorer: Callable[[list[s
     def score(q: pd.Series, d: pd.Series) -> pd.Series:
         return pd.Series(scorer(q.tolist(), d.fillna("").tolist()), dtype=float)
 
+    # 450 characters are what the scorer reads of a text
     first = candidates.where(F.col("rank") <= head).withColumn("rerank", 1 / (1 + F.exp(-score(F.col(query), F.substring(doc, 1, 450)))))
     rest = candidates.where(F.col("rank") > head).withColumn("rerank", F.lit(None).cast("double"))
     w = Window.partitionBy("query_id").orderBy(F.col("rerank").isNull(), F.desc("rerank"), "rank")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestor.operators.align import RANK, rank_of
+from attestor.operators.staging import staged
 
 
 def first_of(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -46,21 +47,35 @@ def distinct_ratings(ratings: DataFrame, keys: list[str], order: Column) -> Data
     return first_of(ratings.where("coalesce(label, '') <> ''"), [*keys, "rater", "label", "work"], [order])
 
 
-def verbatim_exists(segments: DataFrame, sources: DataFrame, text: str = "text", min_word: int = 1) -> DataFrame:
+def verbatim_exists(segments: DataFrame, sources: DataFrame, text: str = "text") -> DataFrame:
     """segments with ``exists``: their text is a substring of a source text.
 
-    Substrings are found through a shared word: a segment's longest inner word (whole, since it has neighbours on both
-    sides) must be a word of the source; only such pairs are compared. Segments of fewer than three words have no inner
-    word and are compared by equality or as a prefix word, suffix word or substring of single source words."""
-    s = segments.withColumn("__sid", F.xxhash64(text)).withColumn("__w", F.split(text, r"\s+"))
-    inner = F.filter(F.slice("__w", 2, F.greatest(F.size("__w") - 2, F.lit(0))), lambda w: w != "")
-    s = s.withColumn("__key", F.get(F.array_sort(inner, lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0)), 0))
-    src = sources.select(F.col(text).alias("__text")).where(F.col("__text").isNotNull())
-    words = src.select("__text", F.explode(F.array_distinct(F.split("__text", r"\s+"))).alias("__key"))
-    keyed = s.where("__key is not null").select("__key", F.col(text).alias("__seg")).distinct()
-    hit = keyed.join(words, "__key").where(F.col("__text").contains(F.col("__seg"))).select("__seg").distinct()
-    short = s.where("__key is null").select(F.col(text).alias("__seg")).distinct()
-    hit = hit.unionByName(short.join(src, F.col("__text").contains(F.col("__seg")), "left_semi"))
+    A segment of three words or more has an inner word, whole as it has neighbours on both sides: the longest one must
+    be a word of the source. The first word of a shorter segment must be a part of a word of the source, which is looked
+    up among the distinct words. Sources are named by two hashes until the few that hold such a word are known; only
+    those are fetched and compared. Null segments exist nowhere; blank ones are compared with all sources."""
+    key = [F.xxhash64("__text").alias("__k1"), F.xxhash64("__text", F.lit("second")).alias("__k2")]
+    src = sources.select(F.col(text).alias("__text")).where(F.col("__text").isNotNull()).select(*key, "__text")
+    longest = lambda a: F.get(F.sort_array(F.transform(a, lambda x: F.struct(F.length(x).alias("n"), x.alias("w"))), asc=False), 0)["w"]
+    asked = segments.select(F.col(text).alias("__seg")).where(F.col("__seg").isNotNull()).distinct()
+    split = F.split("__seg", r"\s+")
+    inner = F.filter(F.slice(split, 2, F.greatest(F.size(split) - 2, F.lit(0))), lambda x: x != "")
+    w = F.filter(split, lambda x: x != "")
+    s = staged(asked.select("__seg", longest(inner).alias("__key"), F.get(w, 0).alias("__part")), "segments")
+    words = src.select("__k1", "__k2", F.explode(F.array_distinct(F.split("__text", r"\s+"))).alias("__key"))
+    keyed = s.where("__key is not null").select("__seg", "__key")
+    if not (short := s.where("__key is null and __part is not null")).isEmpty():
+        # every stretch of a word that is as long as some short segment's first word
+        sizes = short.agg(F.collect_set(F.length("__part")).alias("__sizes"))
+        parts = words.select("__key").distinct().crossJoin(F.broadcast(sizes)).select("__key", F.explode("__sizes").alias("__n")).where(F.length("__key") >= F.col("__n"))
+        parts = parts.select("__key", F.explode(F.transform(F.sequence(F.lit(1), F.length("__key") - F.col("__n") + 1), lambda i: F.substr("__key", i, F.col("__n")))).alias("__part")).distinct()
+        keyed = keyed.unionByName(parts.join(short.select("__seg", "__part"), "__part").select("__seg", "__key"))
+    keyed = staged(keyed, "segment-words")
+    pairs = staged(words.join(keyed, "__key").select("__k1", "__k2", "__seg").distinct(), "segment-sources")
+    met = src.join(pairs.select("__k1", "__k2").distinct(), ["__k1", "__k2"], "left_semi").join(pairs, ["__k1", "__k2"])
+    hit = met.where(F.col("__text").contains(F.col("__seg"))).select("__seg").distinct()
+    if not (blank := s.where("__part is null").select("__seg")).isEmpty():
+        hit = hit.unionByName(blank.join(src.select("__text"), F.col("__text").contains(F.col("__seg")), "left_semi"))
     return segments.join(hit.withColumn("__hit", F.lit(True)), segments[text] == F.col("__seg"), "left").withColumn("exists", F.coalesce("__hit", F.lit(False))).drop("__hit", "__seg")
 
 

@@ -54,26 +54,38 @@ def pick_occurrence(matches: DataFrame) -> DataFrame:
     return ranked.where("__n = 1").drop("__n", "pos").join(rest, "claim_id")
 
 
-def windows(candidates: DataFrame, passages: DataFrame, part: str, order: str, text: str, reach: int = 12) -> DataFrame:
+def windows(candidates: DataFrame, passages: DataFrame, part: str, order: str, text: str, reach: int = 12, also: dict[str, str] | None = None) -> DataFrame:
     """Grows each candidate (claim_id, part, id, n_words) to a window of consecutive passages: one back if it is
     shorter than the claim, then on until it has two words more than the claim, at most ``reach`` further passages.
 
-    Adds start_id, end_id, window_text, and rows (id, n) in order. Passages are numbered by one within a part."""
-    p = passages.select(F.col(part).alias("part"), F.col(order).alias("pid"), F.col(text).alias("t"), F.size(F.filter(F.split(text, " "), lambda x: x != "")).alias("n"))
-    near = candidates.join(p, "part").where(F.col("pid").between(F.col("id") - 1, F.col("id") + reach))
-    own = F.max(F.when(F.col("pid") == F.col("id"), F.col("n"))).over(Window.partitionBy("claim_id", "part", "id"))
-    near = near.withColumn("own", own).where((F.col("pid") >= F.col("id")) | (F.col("own") < F.col("n_words")))
-    w = Window.partitionBy("claim_id", "part", "id").orderBy("pid")
-    before = F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    first = F.min("pid").over(Window.partitionBy("claim_id", "part", "id"))
-    kept = near.withColumn("before", before).withColumn("first", first).where(
-        (F.col("pid") <= F.col("id")) | ((F.col("before") < F.col("n_words") + 2) & (F.col("pid") - F.col("first") <= reach))
-    )
-    rows = F.array_sort(F.collect_list(F.struct("pid", "n", "t")))
-    return kept.groupBy("claim_id", "part", "id", "n_words").agg(rows.alias("rows")).select(
-        "claim_id", "part", "id", "n_words", F.get("rows", 0)["pid"].alias("start_id"), F.element_at("rows", -1)["pid"].alias("end_id"),
-        F.array_join(F.transform("rows", lambda r: r["t"]), " ").alias("window_text"), F.transform("rows", lambda r: F.struct(r["pid"].alias("id"), r["n"].alias("n"))).alias("rows"),
-    )
+    Adds start_id, end_id, window_text, and rows (id, n) in order; for each further spelling in ``also`` (name to column)
+    window_<name> and rows_<name> of the same passages. Passages are numbered by one within a part. A candidate asks for
+    the few passages that it may take in by their numbers, so no part is ever met as a whole."""
+    texts = {"": text, **{f"_{n}": c for n, c in (also or {}).items()}}
+    size = lambda c: F.size(F.array_remove(F.split(F.coalesce(F.col(c), F.lit("")), " "), ""))
+    p = passages.select(F.col(part).alias("part"), F.col(order).cast("long").alias("pid"), *(F.struct(F.coalesce(F.col(c), F.lit("")).alias("t"), size(c).alias("n")).alias(f"w{k}") for k, c in texts.items()))
+    at = F.col("id").cast("long")
+    own = candidates.select("claim_id", "part", "id", "n_words", F.explode(F.sequence(at - 1, at + reach)).alias("pid")).join(p, ["part", "pid"])
+    rows = F.array_sort(F.collect_list(F.struct("pid", *(f"w{k}" for k in texts))))
+    near = own.groupBy("claim_id", "part", "id", "n_words").agg(rows.alias("near"))
+    # one back only if the passage is shorter than the claim
+    itself = F.filter("near", lambda r: r["pid"] == at)
+    near = near.withColumn("near", F.when(F.get(itself, 0)["w"]["n"] < F.col("n_words"), F.col("near")).otherwise(F.filter("near", lambda r: r["pid"] >= at)))
+    # on while the words so far are fewer than wanted: a running sum over the few rows of a window
+    before = F.transform("near", lambda r, i: F.struct(r.alias("r"), F.aggregate(F.slice("near", 1, i), F.lit(0), lambda s, x: s + x["w"]["n"]).alias("before")))
+    first = F.get("near", 0)["pid"]
+    kept = F.transform(F.filter(before, lambda x: (x["r"]["pid"] <= at) | ((x["before"] < F.col("n_words") + 2) & (x["r"]["pid"] - first <= reach))), lambda x: x["r"])
+    near = near.select("claim_id", "part", "id", "n_words", kept.alias("kept"))
+    out = [F.get("kept", 0)["pid"].alias("start_id"), F.element_at("kept", -1)["pid"].alias("end_id")]
+
+    def spelling(k: str) -> list[Column]:
+        texts_ = F.filter(F.transform("kept", lambda r: r[f"w{k}"]["t"]), lambda t: t != "")
+        sizes = F.transform("kept", lambda r: F.struct(r["pid"].alias("id"), r[f"w{k}"]["n"].alias("n")))
+        return [F.array_join(texts_, " ").alias(f"window{k}" if k else "window_text"), sizes.alias(f"rows{k}")]
+
+    for k in texts:
+        out += spelling(k)
+    return near.where("size(kept) > 0").select("claim_id", "part", "id", "n_words", *out)
 
 
 def shrink(rows: Column, start: Column, end: Column) -> Column:

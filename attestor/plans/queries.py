@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestor.functions import keys, labels, porter, text
-from attestor.operators import align, claims, dense, fusion, lexical, limits, metrics, prepare, score, select, stream_match
+from attestor.operators import align, claims, dense, fusion, lexical, limits, lookup, metrics, prepare, score, select, stream_match, testset
+from attestor.operators.staging import spread, staged
 from attestor.plans.verify import Corpus, verify
-from attestor.sources import provider
+from attestor.sources import ingest, provider
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -30,13 +32,31 @@ r AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORD
 FIRST = "WHERE p.doc_id IN (SELECT doc_id FROM documents WHERE source = 'src1')"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+_stored: dict[tuple, lexical.LexicalIndex] = {}
+
+
+class Tables:
+    """The tables of a folder, by name, and the lexical index of its documents."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __call__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+    def index(self) -> lexical.LexicalIndex:
+        """Stored once for each session and table, and made anew when the table's files have changed."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.sf_dir}/documents.parquet")
+        status = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, status.getModificationTime(), status.getLen())
+        if key not in _stored:
+            _stored[key] = lexical.LexicalIndex.stored(self("documents"), "doc_id", text.tokens(norm()))
+        return _stored[key]
 
 
 def query(sql: str | None = None):
     def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: table(spark, sf_dir, name))
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if sql:
             ORACLE[f.__name__] = sql
         return f
@@ -50,7 +70,7 @@ def norm(c: str = "text"):
 
 @query(f"SELECT doc_id, {NORM.format('text')} AS norm FROM documents")
 def norm_text(t):
-    return t("documents").select("doc_id", norm().alias("norm"))
+    return spread(t("documents")).select("doc_id", norm().alias("norm"))
 
 
 @query("SELECT doc_id, CASE WHEN length(regexp_replace(text, '[^؀-ۿ]', '', 'g')) >= length(regexp_replace(text, '[^A-Za-z]', '', 'g')) THEN 'ar' ELSE 'en' END AS script FROM documents")
@@ -70,24 +90,21 @@ def phrase_strip(t):
 
 @query(f"WITH {DOC_TERMS} SELECT term, count(DISTINCT doc_id) AS n_docs, count(*) AS n_total FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY term")
 def term_freq(t):
-    index = lexical.LexicalIndex.build(t("documents"), "doc_id", text.tokens(norm()))
-    return index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("tf").alias("n_total"))
+    return t.index().postings.groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("tf").alias("n_total"))
 
 
 @query(f"WITH {DOC_TERMS} SELECT doc_id, CAST(len(w) AS BIGINT) AS dl, CAST(len(list_distinct(w)) AS BIGINT) AS n_terms FROM d")
 def doc_len(t):
-    w = text.tokens(norm())
-    return t("documents").select("doc_id", F.size(w).cast("long").alias("dl"), F.size(F.array_distinct(w)).cast("long").alias("n_terms"))
+    return t.index().words.select("doc_id", F.size("words").cast("long").alias("dl"), F.size(F.array_distinct("words")).cast("long").alias("n_terms"))
 
 
 @query(f"WITH {DOC_TERMS} SELECT count(*) AS n_docs, round(avg(len(w)), 6) AS avgdl FROM d")
 def corpus_stats(t):
-    return lexical.LexicalIndex.build(t("documents"), "doc_id", text.tokens(norm())).stats.select("n_docs", F.round("avgdl", 6).alias("avgdl"))
+    return t.index().stats.select("n_docs", F.round("avgdl", 6).alias("avgdl"))
 
 
 def _bm25(t, k=10, allowed=None):
-    index = lexical.LexicalIndex.build(t("documents"), "doc_id", text.tokens(norm()))
-    return lexical.bm25(index, t("benchmark"), "item_id", text.tokens(norm()), k, allowed)
+    return lexical.bm25(t.index(), t("benchmark"), "item_id", text.tokens(norm()), k, allowed)
 
 
 @query(f"WITH {BM25.replace('{where}', '')} SELECT item_id, doc_id, rank, round(score, 5) + 0 AS score FROM r WHERE rank <= 10")
@@ -122,7 +139,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(rrf, 12)
 
 
 def _fused(t):
-    allowed = t("documents").where("source = 'src1'").select("doc_id")
+    allowed = t("documents").where("source = 'src1'").select("doc_id")  # two lists over one stored index
     return fusion.rrf_fuse({"all": _bm25(t), "src1": _bm25(t, 10, allowed)})
 
 
@@ -145,13 +162,13 @@ def _phrases(t):
 
 @query(f"SELECT item_id, doc_id FROM (SELECT item_id, ' ' || {NORM.format('text')} || ' ' AS b FROM benchmark) JOIN (SELECT doc_id, ' ' || {NORM.format('text')} || ' ' AS d FROM documents) ON contains(d, b)")
 def phrase_exact(t):
-    stream = stream_match.token_stream(t("documents").withColumn("zero", F.lit(0)), "doc_id", "zero", text.tokens(norm()))
+    stream = staged(stream_match.token_stream(t.index().words.withColumn("zero", F.lit(0)), "doc_id", "zero", F.col("words")), "stream")
     return stream_match.exact_matches(_phrases(t), stream, None).select(F.col("claim_id").alias("item_id"), F.col("part").alias("doc_id")).distinct()
 
 
 @query(f"SELECT item_id, conv_id FROM (SELECT item_id, ' ' || {NORM.format('text')} || ' ' AS b FROM benchmark) JOIN (SELECT conv_id, ' ' || string_agg({NORM.format('text')}, ' ' ORDER BY turn) || ' ' AS d FROM conversations GROUP BY conv_id) ON contains(d, b)")
 def stream_matches(t):
-    stream = stream_match.token_stream(t("conversations"), "conv_id", "turn", text.tokens(norm()))
+    stream = staged(stream_match.token_stream(t("conversations"), "conv_id", "turn", text.tokens(norm())), "stream")
     return stream_match.exact_matches(_phrases(t), stream, None).select(F.col("claim_id").alias("item_id"), F.col("part").alias("conv_id")).distinct()
 
 
@@ -257,12 +274,12 @@ def insert_ignore(t):
 @query("SELECT o_orderkey, c_custkey, c_name, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
 def pk_lookup(t):
     c = t("customer").join(F.broadcast(t("nation")), F.col("c_nationkey") == F.col("n_nationkey"))
-    return t("orders").join(c, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_custkey", "c_name", "n_name")
+    return ingest.by_ids(c, t("orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey")), "c_custkey").select("o_orderkey", "c_custkey", "c_name", "n_name")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey BETWEEN 100 AND 900")
 def range_lookup(t):
-    return t("lineitem").where(F.col("l_orderkey").between(100, 900)).select("l_orderkey", "l_linenumber", "l_quantity")
+    return ingest.id_range(t("lineitem"), 100, 900, "l_orderkey").select("l_orderkey", "l_linenumber", "l_quantity")
 
 
 @query("SELECT c_custkey, coalesce(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey), '') AS orders FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
@@ -363,10 +380,9 @@ def status_counter(t):
 
 
 def _corpus(t) -> Corpus:
-    d = t("documents")
-    n = d.select("doc_id", F.col("source").alias("collection"), F.col("doc_id").cast("string").alias("number"), F.col("text").alias("text_ar"), F.lit("").alias("text_norm"), F.lit("").alias("body_norm"), F.col("text").alias("text_en"), norm().alias("text_en_norm"), F.lit(None).cast("string").alias("url"))
+    n = spread(t("documents")).select("doc_id", F.col("source").alias("collection"), F.col("doc_id").cast("string").alias("number"), F.col("text").alias("text_ar"), F.lit("").alias("text_norm"), F.lit("").alias("body_norm"), F.col("text").alias("text_en"), norm().alias("text_en_norm"), F.lit(None).cast("string").alias("url"))
     r = t("labels").select("doc_id", F.when(F.col("quality") == 1, "sahih").otherwise("daif").alias("grade_class"), F.lit("dataset").alias("origin"))
-    return Corpus(n, r)
+    return Corpus(n, r, index={"narration-en": t.index()})
 
 
 def _results(t) -> DataFrame:
@@ -400,7 +416,11 @@ def cue_extract(t):
     return kept
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
+w AS (SELECT user_id, event_id, r, true AS admitted, [s] AS held FROM o WHERE r = 1
+UNION ALL SELECT user_id, event_id, r, len(f) < 5, CASE WHEN len(f) < 5 THEN list_append(f, s) ELSE f END
+FROM (SELECT o.user_id, o.event_id, o.r, o.s, list_filter(w.held, lambda x: o.s - x <= 86400.0) AS f FROM w JOIN o ON o.user_id = w.user_id AND o.r = w.r + 1))
+SELECT user_id, event_id, admitted FROM w""")
 def rate_limit_admit(t):
     e = t("events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("us")).withColumn("s", F.col("us") / 1e6)
     return limits.admit(e, "user_id", "s", "event_id", 5, 86400.0).select("user_id", "event_id", "admitted")
@@ -416,13 +436,192 @@ def stemmed_terms(t):
     return t("benchmark").select("item_id", F.array_join(porter.stem_all(text.tokens(norm())), " ").alias("stems"))
 
 
-@query()
+TURNS = f"""t0 AS (SELECT conv_id, turn, string_split({NORM.format('text')}, ' ') AS w FROM conversations WHERE {NORM.format('text')} <> ''),
+k AS (SELECT conv_id, turn, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS nr FROM t0),
+s AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, nr) AS pos FROM k),
+l AS (SELECT conv_id, list(word ORDER BY pos) AS words FROM s GROUP BY conv_id)"""
+
+
+@query(f"""WITH {TURNS}, c AS (SELECT conv_id * 1000 + turn AS claim_id, w FROM t0 WHERE len(w) BETWEEN 3 AND 12),
+m AS (SELECT claim_id, s.conv_id AS part, s.pos, s.turn AS start_id, s.nr AS a1, len(c.w) AS n FROM c JOIN s ON s.word = c.w[1] JOIN l USING (conv_id) WHERE list_slice(l.words, s.pos, s.pos + len(c.w) - 1) = c.w),
+e AS (SELECT m.*, z.turn AS end_id, a1 = 0 AND z.nr = z.n - 1 AS whole, row_number() OVER (PARTITION BY claim_id ORDER BY part, m.pos) AS nth FROM m JOIN s z ON z.conv_id = part AND z.pos = m.pos + m.n - 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY whole DESC, part, start_id, pos) AS best, count(*) OVER (PARTITION BY claim_id) - 1 AS n_others FROM e WHERE nth <= 50)
+SELECT claim_id, part, start_id, end_id, whole, CAST(n_others AS INTEGER) AS n_others FROM r WHERE best = 1""")
 def occurrence_pick(t):
-    stream = stream_match.token_stream(t("conversations"), "conv_id", "turn", text.tokens(norm()))
-    asked = t("conversations").select(F.xxhash64("conv_id", "turn").alias("claim_id"), text.tokens(norm()).alias("words")).where("size(words) between 3 and 12")
+    stream = staged(stream_match.token_stream(t("conversations").where(norm() != ""), "conv_id", "turn", text.tokens(norm())), "stream")
+    asked = t("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("claim_id"), text.tokens(norm()).alias("words")).where("size(words) between 3 and 12")
     return stream_match.pick_occurrence(stream_match.exact_matches(asked, stream)).select("claim_id", "part", "start_id", "end_id", "whole", F.size("others").alias("n_others"))
 
 
+@query(f"""WITH {TURNS}, b AS (SELECT conv_id * 1000 + turn AS claim_id, list_slice(w, -3, -1) || list_slice(lead(w) OVER (PARTITION BY conv_id ORDER BY turn), 1, 3) AS w FROM t0),
+f AS (SELECT conv_id, ' ' || array_to_string(words, ' ') || ' ' AS d FROM l)
+SELECT DISTINCT claim_id, conv_id FROM b JOIN f ON contains(d, ' ' || array_to_string(w, ' ') || ' ') WHERE w IS NOT NULL""")
+def stream_border_matches(t):
+    """Phrases that run from the end of a turn into the next, found across the border."""
+    from pyspark.sql import Window
+
+    c = t("conversations").select("conv_id", "turn", text.tokens(norm()).alias("w")).where("size(w) > 0")
+    ends = F.slice("w", F.greatest(F.size("w") - 2, F.lit(1)), 3)
+    after = F.lead("w").over(Window.partitionBy("conv_id").orderBy("turn"))
+    asked = c.withColumn("words", F.concat(ends, F.slice(after, 1, 3))).where("words is not null").select((F.col("conv_id") * 1000 + F.col("turn")).alias("claim_id"), "words")
+    stream = staged(stream_match.token_stream(c, "conv_id", "turn", F.col("w")), "stream")
+    return stream_match.exact_matches(asked, stream, None).select("claim_id", F.col("part").alias("conv_id")).distinct()
+
+
+@query(f"""WITH o AS (SELECT conv_id, turn, array_to_string(list_slice(string_split({NORM.format('text')}, ' '), 1, 1), ' ') AS t FROM conversations)
+SELECT conv_id, turn, count(*) OVER (PARTITION BY t) - 1 AS others FROM o WHERE t <> '' QUALIFY count(*) OVER (PARTITION BY t) > 1""")
+def repeated_openings(t):
+    c = t("conversations").select("conv_id", "turn", F.get(text.tokens(norm()), 0).alias("t")).where("t <> ''")
+    n = c.groupBy("t").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return c.join(n, "t").select("conv_id", "turn", (F.col("n") - 1).alias("others"))
+
+
+#: Latin letters as Arabic ones, so that the Arabic path meets whole texts: variants, marks and digits among them.
+TO_ARABIC = ("abcdefghijklmnopqrstuvwxyz,.'", "أبجدةوزحطيكلمنىعفصقرشتثخذض،؟َ")
+ARABIC = f"translate(lower(text), '{TO_ARABIC[0].replace(chr(39), chr(39) * 2)}', '{TO_ARABIC[1]}')"
+NORM_AR = f"trim(regexp_replace(regexp_replace(translate(regexp_replace({ARABIC}, '{text.MARKS}', '', 'g'), '{text.LETTERS_FROM}', '{text.LETTERS_TO}'), '[^\\p{{L}}\\p{{N}}\\s]', ' ', 'g'), '\\s+', ' ', 'g'))".replace("\\\\", "\\")
+
+
+def arabic(c: str = "text"):
+    return F.translate(F.lower(c), *TO_ARABIC)
+
+
+@query(f"SELECT doc_id, {NORM_AR} AS norm, CASE WHEN length(regexp_replace({ARABIC}, '[^؀-ۿ]', '', 'g')) >= length(regexp_replace({ARABIC}, '[^A-Za-z]', '', 'g')) THEN 'ar' ELSE 'en' END AS lang FROM documents")
+def norm_arabic(t):
+    d = spread(t("documents"))
+    return d.select("doc_id", text.normalize_ar(arabic(), honorifics=False, compat=False).alias("norm"), text.detect_lang(arabic()).alias("lang"))
+
+
+NAMES = "n AS (SELECT p_partkey, string_split(p_name || ' of ' || lower(p_brand) || ' ' || p_partkey, ' ') AS w FROM part), u AS (SELECT * FROM n WHERE len(list_distinct(w)) = len(w) AND len(w) >= 4)"
+
+
+def _names(t):
+    w = F.split(F.concat_ws(" ", "p_name", F.lit("of"), F.lower("p_brand"), F.col("p_partkey").cast("string")), " ")
+    return t("part").select("p_partkey", w.alias("w")).where("size(array_distinct(w)) = size(w) and size(w) >= 4")
+
+
+def _aligned(t, claim, ref):
+    """A pair of texts for each part, and their alignment."""
+    return _names(t).select("p_partkey", align.alignment(F.array_join(claim, " "), F.array_join(ref, " ")).alias("a"))
+
+
+@query(f"WITH {NAMES} SELECT p_partkey, CAST(2 AS INTEGER) AS \"start\", CAST(2 + len(w) AS INTEGER) AS \"end\" FROM u")
+def best_window(t):
+    around = F.concat(F.array(F.lit("zz"), F.lit("yy")), F.col("w"), F.array(*(F.lit(f"x{i}") for i in range(9))))
+    return _aligned(t, F.col("w"), around).select("p_partkey", F.col("a.start").alias("start"), F.col("a.end").alias("end"))
+
+
+@query(f"WITH {NAMES} SELECT p_partkey, round((len(w) - 1) / len(w)::DOUBLE, 9) AS coverage FROM u")
+def token_coverage(t):
+    changed = F.transform("w", lambda x, i: F.when(i == 1, "zz").otherwise(x))
+    return _aligned(t, changed, F.col("w")).select("p_partkey", F.round("a.coverage", 9).alias("coverage"))
+
+
+@query(f"WITH {NAMES} SELECT p_partkey, 'equal:' || w[1] || '|replace:zz<' || w[2] || '|equal:' || array_to_string(list_slice(w, 3, len(w) - 1), ' ') || '|delete:' || w[len(w)] AS diff FROM u")
+def word_diff(t):
+    changed = F.transform(F.slice("w", 1, F.size("w") - 1), lambda x, i: F.when(i == 1, "zz").otherwise(x))
+    whole = _names(t).select("p_partkey", F.array_join(changed, " ").alias("c"), F.array_join("w", " ").alias("r"))
+
+    @F.pandas_udf("string")
+    def run(c, r):
+        return pd.Series(["|".join(f"{o['op']}:{o['text']}" + (f"<{o['source']}" if o["source"] else "") for o in align.word_diff(x.split(), y.split())) for x, y in zip(c, r)])
+
+    return whole.select("p_partkey", run("c", "r").alias("diff"))
+
+
+@query("SELECT p_partkey, round(2.0 * greatest(1, length(p_name) // 2) / (length(p_name) + greatest(1, length(p_name) // 2)), 9) AS ratio FROM part WHERE length(p_name) > 0")
+def align_ratio(t):
+    half = F.expr("left(p_name, greatest(1, length(p_name) div 2))")
+    return t("part").where("length(p_name) > 0").select("p_partkey", F.round(align.char_ratio(half, F.col("p_name")), 9).alias("ratio"))
+
+
+@query(f"""WITH b AS (SELECT item_id, {NORM.format('text')} AS b FROM benchmark), d AS (SELECT doc_id, {NORM.format('text')} AS d FROM documents),
+m AS (SELECT item_id, doc_id, b, d, len(string_split(b, ' ')) AS nb, len(string_split(d, ' ')) AS nd FROM b JOIN d ON contains(' ' || d || ' ', ' ' || b || ' '))
+SELECT item_id, doc_id, CASE WHEN nb >= 0.95 * nd OR 2.0 * length(b) / (length(b) + length(d)) >= 0.95 THEN 'identical' ELSE 'partial' END AS match_type, 1.0::DOUBLE AS coverage, 1.0::DOUBLE AS span_sim FROM m WHERE nb >= 2""")
+def classify_exact_claims(t):
+    met = phrase_exact(t).join(t("benchmark").select("item_id", norm().alias("claim")), "item_id").join(spread(t("documents")).select("doc_id", norm().alias("ref_text")), "doc_id")
+    got = align.classify(met.withColumns({"reference": F.lit("full"), "rerank": F.lit(None).cast("double")}), ["item_id", "doc_id"])
+    return got.where("size(diff) > 0 or match_type <> 'not_found'").select("item_id", "doc_id", "match_type", "coverage", "span_sim")
+
+
+MATCHES = """m AS (SELECT user_id, event_id, ['identical', 'partial', 'altered', 'paraphrase', 'not_found'][1 + event_id % 5] AS match_type, 4 - event_id % 5 AS r,
+event_id % 100 / 100.0::DOUBLE AS coverage, event_id % 8 / 8.0::DOUBLE AS span_sim, event_id % 3 / 4.0::DOUBLE AS confidence, event_id % 11 AS rank, event_id % 4 = 1 AS second FROM events)"""
+BEST = "round_even(coverage, 2) DESC, round_even(span_sim, 3) DESC, confidence DESC, rank, event_id"
+
+
+def _matches(t):
+    e = F.col("event_id")
+    kinds = F.array(*(F.lit(x) for x in align.RANK))
+    return t("events").select("user_id", "event_id", e.alias("doc_id"), F.element_at(kinds, (e % 5 + 1).cast("int")).alias("match_type"), (e % 100 / 100.0).alias("coverage"),
+                              (e % 8 / 8.0).alias("span_sim"), (e % 3 / 4.0).alias("confidence"), (e % 11).alias("rank"), (e % 4 == 1).alias("second"))
+
+
+@query(f"WITH {MATCHES} SELECT user_id, match_type, coverage, span_sim, confidence, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY r DESC, {BEST}) AS n FROM m) WHERE n = 1")
+def best_per_claim(t):
+    return stream_match.best_match(_matches(t), ["user_id"]).select("user_id", "match_type", "coverage", "span_sim", "confidence", "rank")
+
+
+@query(f"WITH {MATCHES} SELECT user_id, event_id, match_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY (NOT second AND r >= 3) DESC, r DESC, {BEST}) AS n FROM m) WHERE n = 1")
+def primary_preference(t):
+    return select.primary_over_secondary(_matches(t), ["user_id"], F.col("second")).select("user_id", "event_id", "match_type")
+
+
+@query("SELECT p_partkey, p_name AS text, p_brand AS rawi, p_type AS grade, 'h' || p_partkey AS hadith_id, p_size % 2 = 0 AS has_alternate FROM part")
+def provider_records(t):
+    """Pages in the provider's form, made from a table and parsed back into its columns."""
+    f = provider.LABELS
+    parts = [
+        F.lit(f'<html><div class="{provider.BLOCK_CLASS}">out of scope</div><div id="{provider.SCOPE_ID}"><div class="x {provider.BLOCK_CLASS}"><article>1 - : '), F.col("p_name"),
+        F.lit(f"</article><strong>{f['rawi']}: <span>"), F.col("p_brand"), F.lit(f"</span></strong><strong>| {f['grade']}: <span> "), F.col("p_type"),
+        F.lit('</span></strong><a href="/h/h'), F.col("p_partkey").cast("string"), F.when(F.col("p_size") % 2 == 0, "?alts=1").otherwise("?sims=1"), F.lit('">x</a></div></div></html>'),
+    ]
+    got = t("part").select("p_partkey", F.inline(provider.records(F.concat(*parts))))
+    return got.select("p_partkey", "text", "rawi", "grade", "hadith_id", "has_alternate")
+
+
+@query("""SELECT p_partkey AS post_id, c.idx AS idx, c.text AS text, c.kind AS claim_type, c.who AS attributed_to, 'en' AS lang FROM (SELECT p_partkey,
+unnest([{'idx': 0, 'text': p_name || ' of ' || p_brand, 'kind': 'saying', 'who': NULL}, {'idx': 1, 'text': p_type || ' or ' || p_brand, 'kind': 'hadith', 'who': 'the Prophet ﷺ'}]) AS c FROM part)""")
+def cue_claims(t):
+    """Posts with two quotations, one of them after a cue."""
+    post = F.concat(F.lit("He wrote «"), F.col("p_name"), F.lit(" of "), F.col("p_brand"), F.lit('» and the Prophet said: "'), F.col("p_type"), F.lit(" or "), F.col("p_brand"), F.lit('" today'))
+    return claims.extract(t("part").select(F.col("p_partkey").alias("post_id"), post.alias("text")))[0]
+
+
+@query("""WITH r AS (SELECT p_partkey, p_name, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS n FROM part), o AS (SELECT p_partkey, p_name, row_number() OVER (ORDER BY md5('7:' || p_partkey), p_partkey) AS at FROM r WHERE n = 1)
+SELECT p_partkey, CASE WHEN at <= 12 THEN 'identical' WHEN at <= 18 THEN 'partial' ELSE 'altered' END AS variant, CAST(CASE WHEN at <= 12 THEN at WHEN at <= 18 THEN at - 12 ELSE at - 18 END AS INTEGER) AS nr FROM o WHERE at <= 22""")
+def testset_quotas(t):
+    return testset.quotas(t("part").select("p_partkey", "p_name"), [("identical", 12), ("partial", 6), ("altered", 4)], "p_partkey", "p_name").select("p_partkey", "variant", "nr")
+
+
+@query("""WITH h AS (SELECT user_id, ['sahih', 'hasan', 'daif', 'mawdu', 'unknown'][1 + event_id % 5] AS g FROM events WHERE event_id % 3 = 0),
+s AS (SELECT c_custkey, ['daif', 'mawdu'][1 + c_custkey % 2] AS top FROM customer)
+SELECT c_custkey, CASE WHEN (coalesce(bool_or(g = 'mawdu'), false) OR top = 'mawdu') AND NOT coalesce(bool_or(g IN ('sahih', 'hasan')), false) THEN 'red' ELSE 'amber' END AS status, count(g) AS n_same
+FROM s LEFT JOIN h ON user_id = c_custkey GROUP BY c_custkey, top""")
+def policy_labels(t):
+    e, c = F.col("event_id"), F.col("c_custkey")
+    same = F.concat(F.lit("wording "), F.col("query"))
+    grade = F.element_at(F.array(*(F.lit(x) for x in ("sahih", "hasan", "daif", "mawdu", "unknown"))), (e % 5 + 1).cast("int"))
+    hits = t("events").select(F.col("user_id").cast("string").alias("query"), F.when(e % 3 == 0, F.concat(F.lit("wording "), F.col("user_id").cast("string"))).otherwise("a text of quite other words").alias("norm"), grade.alias("grade_class"))
+    seeds = t("customer").select(c.cast("string").alias("query"), F.when(c % 2 == 0, "daif").otherwise("mawdu").alias("top_class")).withColumn("norm", same)
+    return testset.policy_label(seeds, hits).select(F.col("query").cast("long").alias("c_custkey"), "status", "n_same")
+
+
+@query("SELECT c_custkey, min(o_orderkey) AS first_order FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+def cached_lookup(t):
+    """Texts that are looked up among the items of cached responses."""
+    key = F.concat(F.lit("search:"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0"))
+    item = F.struct(F.concat(F.lit("text "), F.col("o_custkey").cast("string")).alias("text"))
+    found = lookup.cached_response(t("customer").select("c_custkey", F.concat(F.lit("text "), F.col("c_custkey").cast("string")).alias("text")), t("orders").select(key.alias("key"), F.array(item).alias("response")))
+    return found.select("c_custkey", F.substring("key", 8, 12).cast("long").alias("first_order"))
+
+
+@query("""SELECT event_id, CASE WHEN m <> 'not_found' AND g <> 'mawdu' AND h THEN 'keep' WHEN n > 0 THEN 'replace' ELSE 'remove' END AS action
+FROM (SELECT event_id, ['identical', 'altered', 'not_found'][1 + event_id % 3] AS m, ['sahih', 'mawdu'][1 + event_id // 3 % 2] AS g, event_id % 5 > 0 AS h, event_id % 7 % 3 AS n FROM events)""")
+def decide_grid(t):
+    e, pick = F.col("event_id"), lambda names, i: F.element_at(F.array(*(F.lit(x) for x in names)), (i + 1).cast("int"))
+    return t("events").select("event_id", prepare.decide(pick(("identical", "altered", "not_found"), e % 3), pick(("sahih", "mawdu"), F.floor(e / 3) % 2), e % 5 > 0, e % 7 % 3).alias("action"))
+
+
 @query()
 def decide_actions(t):
     return _results(t).select("post_id", "idx", prepare.decide(F.col("match_type"), F.col("grade_class"), F.col("doc_id").isNotNull(), F.coalesce(F.size("alternatives"), F.lit(0))).alias("action"))

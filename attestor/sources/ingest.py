@@ -114,6 +114,31 @@ def seeds(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.trim(F.get(p, 0)).alias("query"), F.coalesce(F.nullif(F.trim(F.get(p, 1)), F.lit("")), F.lit("needs_review")).alias("review_status"))
 
 
+ITEM = (
+    "id STRING, category STRING, variant STRING, input STRING, lang STRING, expected_type STRING, expected_status STRING, expected_match STRING, expected_source_id STRING, "
+    "expected_source_ids ARRAY<STRING>, status_basis STRING, label_basis STRING, review_status STRING"
+)
+PREDICTION = (
+    "id STRING, category STRING, variant STRING, expected_status STRING, expected_match STRING, expected_source_ids ARRAY<STRING>, extracted BOOLEAN, n_claims INT, ms BIGINT, "
+    "status STRING, match_type STRING, claim_type STRING, score INT, pred_source STRING, top1 BOOLEAN, top5 BOOLEAN, summary STRING"
+)
+TOP = f"STRUCT<{FIELDS}, grade_class: STRING, url: STRING>"
+SEED_REPORT = f"query STRING, review_status STRING, n_results INT, top {TOP}, top_similarity DOUBLE, alternate {TOP}, error STRING"
+
+
+def test_items(spark: SparkSession, path: str) -> DataFrame:
+    """Evaluation items, one JSON object a line."""
+    return spark.read.schema(ITEM).json(path)
+
+
+def predictions(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(PREDICTION).json(path)
+
+
+def seed_report(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(SEED_REPORT).json(path)
+
+
 def results_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(path)
 

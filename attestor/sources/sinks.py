@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,14 @@ def predictions(preds: DataFrame, path: str) -> None:
     preds.write.mode("overwrite").json(path)
 
 
+def results(config: dict, metrics: dict, path: str, spark) -> None:
+    """One JSON document with the settings and the metrics of an evaluation, which results_json() reads back."""
+    from pyspark.sql import Row
+
+    text = json.dumps({"config": config, "metrics": metrics}, ensure_ascii=False, indent=1)
+    spark.createDataFrame([Row(value=text)]).coalesce(1).write.mode("overwrite").option("lineSep", "\n").text(path)
+
+
 def report(metrics: dict, confusion: list[dict]) -> str:
     """Markdown of the metrics, a few rows that the driver holds."""
     head = "# Evaluation\n\n| metric | value |\n|---|---|\n" + "".join(f"| {k} | {v} |\n" for k, v in metrics.items())
