@@ -150,6 +150,13 @@ class PieceCodec:
     def encode(self, text: str) -> list[int]:
         return [i for w in self.words(text) for i in self.unit(SPACE + w)]
 
+    def compared(self, text: str) -> list[int]:
+        """encode(), after a comparison of the whole text with the library."""
+        own = self.encode(text)
+        if own != self.library.encode(text, num_threads=1):
+            raise RuntimeError(f"encoding of {text[:80]!r} differs from the library's")
+        return own
+
     def pieces_text(self, ids: list[int]) -> str:
         """Pieces joined; runs of byte pieces are decoded together, bad ones as U+FFFD each."""
         if self.bytes_of.keys().isdisjoint(ids):
@@ -186,7 +193,7 @@ class PieceCodec:
         words = self.words(text)
         distinct = set(words)
         if len(distinct) > self.MEMO:  # a very long text goes without the memo of words
-            all_ids = self.encode(text)
+            all_ids = self.compared(text)
             return len(all_ids), _sha(",".join(map(str, all_ids))), _sha(self.decode(all_ids))
         ids = self.ids
         if missing := [w for w in distinct if w not in ids]:
@@ -254,9 +261,10 @@ def _by_text(df: DataFrame, text: str, fields: list[tuple[str, pa.DataType, str]
 
 
 def encode(df: DataFrame, text: str = "text", model_file: str | None = None, out: str = "ids") -> DataFrame:
-    """Adds ``out``, array<int>: the ids of each whole text. Null and empty texts give an empty array."""
+    """Adds ``out``, array<int>: the ids of each whole text, compared with the library's; a difference stops the job. Null
+    and empty texts give an empty array."""
     model = model_file or default_model()
-    return _by_text(df, text, [(out, pa.list_(pa.int32()), "array<int>")], lambda t: (codec(model).encode(t or ""),))
+    return _by_text(df, text, [(out, pa.list_(pa.int32()), "array<int>")], lambda t: (codec(model).compared(t or ""),))
 
 
 def decode(df: DataFrame, ids: str = "ids", model_file: str | None = None, out: str = "decoded") -> DataFrame:
