@@ -20,8 +20,8 @@ def brute(spark, docs, items):
     left = test_linededup.plain(docs, test_linededup.cuts_of(spark, docs))
     docs = [(d, left[t] if len(left[t]) >= (1 - C.MOST_REMOVED) * len(t) else t) for d, t in docs]
     docs = [(d, t) for d, t in docs if t.strip(" ")]
-    comp = test_simhash.brute_components([d for d, _ in docs], [test_simhash.brute_fingerprint(t) for _, t in docs])
-    docs = [x for x, c in zip(docs, comp) if x[0] == c]
+    docs.sort()
+    docs = [x for i, (x, c) in enumerate(zip(docs, test_simhash.brute_wide_components(docs))) if i == c]
     bad = {r[0] for r in test_decontam.brute(docs, items) if r[5]}
     return {d: t for d, t in docs if d not in bad}
 

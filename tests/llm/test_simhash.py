@@ -89,3 +89,68 @@ def test_chain_and_dense_runs():
     many = np.array([i for i in range(2048)], np.int64)
     e = S.links_in_runs(np.zeros(2048, np.int64), many)
     assert len(e) == 2047
+
+
+def shingles(text, words=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return [" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))] if w else []
+
+
+def brute_wide(text):
+    """320 bits: each lane's bit is set if set in over half of the shingles' hashes of that lane."""
+    total, hashes = 0, [S.xxhash.xxh64_intdigest(s.encode(), seed=42) for s in shingles(text)]
+    for lane in range(5):
+        hs = []
+        for h in hashes:
+            if lane:
+                h = (h + lane * 0x9E3779B97F4A7C15) % 2**64
+                h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+                h = (h ^ h >> 27) * 0x94D049BB133111EB % 2**64
+                h ^= h >> 31
+            hs.append(h)
+        total |= sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs)) << (64 * lane)
+    return total
+
+
+def brute_wide_components(docs):
+    """Index of the first of each component, in order of docs (id, text): fingerprints 52 bits apart or fewer."""
+    fps = [brute_wide(t) for _, t in docs]
+    comp = list(range(len(docs)))
+
+    def root(x):
+        while comp[x] != x:
+            x = comp[x]
+        return x
+
+    lanes = np.array([[f >> (64 * k) & (2**64 - 1) for k in range(5)] for f in fps], np.uint64)
+    for i in range(len(fps)):
+        for j in np.flatnonzero(np.bitwise_count(lanes[i + 1 :] ^ lanes[i]).sum(axis=1) <= 52) + i + 1:
+            a, b = root(i), root(int(j))
+            if a != b:
+                comp[max(a, b)] = min(a, b)
+    return [root(i) for i in range(len(docs))]
+
+
+def test_similar_texts_against_brute_force(spark):
+    """Edited copies: similarities of 0.9 are all found, of 0.8 all but a few, and nothing that the bits don't link."""
+    rng = np.random.default_rng(3)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    docs = []
+    for group in range(60):
+        base = [vocabulary[i] for i in rng.integers(0, 4000, 300)]
+        docs.append((len(docs), " ".join(base)))
+        for edits in (1, 3, 5, 8, 40):
+            w = list(base)
+            for at in rng.integers(0, len(w), edits):
+                w[at] = vocabulary[rng.integers(0, 4000)]
+            docs.append((len(docs), " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    gone = {r.id for r in S.repeated_keys(df).collect()}
+    comp = brute_wide_components(docs)
+    want = {d for (d, _), c in zip(docs, comp) if c != d}
+    assert not gone - want and len(gone) >= 0.9 * len(want)
+    sets = [set(shingles(t)) for _, t in docs]
+    similar = {d: len(sets[d] & sets[d - d % 6]) / len(sets[d] | sets[d - d % 6]) for d in range(len(docs)) if d % 6}
+    assert all(d in gone for d, j in similar.items() if j >= 0.9)
+    assert np.mean([d in gone for d, j in similar.items() if j >= 0.8]) >= 0.95
+    assert not any(d in gone for d, j in similar.items() if j < 0.6)
