@@ -102,9 +102,10 @@ def embed(df: DataFrame, text: Column, encoder: Callable[[list[str]], list[list[
     def run(s: pd.Series) -> pd.Series:
         texts = s.fillna("").tolist()
         vecs = [v for at in range(0, len(texts), batch) for v in encoder(texts[at : at + batch])]
-        return pd.Series([list(map(float, v)) for v in vecs])
+        rows = np.asarray(vecs, np.float64).reshape(len(texts), -1)
+        return pd.Series(list(rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)))
 
-    return df.withColumn(out, unit(run(text)))
+    return df.withColumn(out, run(text))
 
 
 def index_missing(rows: DataFrame, existing: DataFrame | None, doc_id: str = "doc_id") -> DataFrame:

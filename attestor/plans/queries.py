@@ -587,8 +587,8 @@ def cue_claims(t):
     return claims.extract(t("part").select(F.col("p_partkey").alias("post_id"), post.alias("text")))[0]
 
 
-@query("""WITH r AS (SELECT p_partkey, p_name, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS n FROM part), o AS (SELECT p_partkey, p_name, row_number() OVER (ORDER BY md5('7:' || p_partkey), p_partkey) AS at FROM r WHERE n = 1)
-SELECT p_partkey, CASE WHEN at <= 12 THEN 'identical' WHEN at <= 18 THEN 'partial' ELSE 'altered' END AS variant, CAST(CASE WHEN at <= 12 THEN at WHEN at <= 18 THEN at - 12 ELSE at - 18 END AS INTEGER) AS nr FROM o WHERE at <= 22""")
+@query("""WITH r AS (SELECT p_partkey, p_name, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS n FROM part), o AS (SELECT p_partkey, p_name, row_number() OVER (ORDER BY md5('7:' || p_partkey), p_partkey) AS nr FROM r WHERE n = 1)
+SELECT p_partkey, CASE WHEN nr <= 12 THEN 'identical' WHEN nr <= 18 THEN 'partial' ELSE 'altered' END AS variant, CAST(CASE WHEN nr <= 12 THEN nr WHEN nr <= 18 THEN nr - 12 ELSE nr - 18 END AS INTEGER) AS nr FROM o WHERE nr <= 22""")
 def testset_quotas(t):
     return testset.quotas(t("part").select("p_partkey", "p_name"), [("identical", 12), ("partial", 6), ("altered", 4)], "p_partkey", "p_name").select("p_partkey", "variant", "nr")
 
