@@ -622,6 +622,69 @@ def decide_grid(t):
     return t("events").select("event_id", prepare.decide(pick(("identical", "altered", "not_found"), e % 3), pick(("sahih", "mawdu"), F.floor(e / 3) % 2), e % 5 > 0, e % 7 % 3).alias("action"))
 
 
+#: Labels, images and requests that meet each rule once; the SQL has what the rules give, in the same order.
+AR_LABELS = {"صحيح": "sahih", "حسن صحيح": "sahih", "ضعيفٌ جدًّا": "daif", "موضوع": "mawdu", "لا أصل له": "mawdu", "إسناده حسن": "hasan", "مرسل صحيح": "daif", "غير ذلك": "unknown"}
+IMAGES = {"iVBORw0KGgoAAAAA": "image/png", "data:image/jpeg;base64,/9j/4AAQSkZJRg==": "image/jpeg", "R0lGODlhAQABAAAA": "image/gif", "UklGRgAAAABXRUJQ": "image/webp", "AAAAAAAAAAAAAAAA": None, "no base64 !": None}
+FORWARDED = {" 10.0.0.1 , 10.0.0.2": "10.0.0.1", "": "peer", ",x": "peer", "h": "h"}
+
+
+def _sql_list(values) -> str:
+    return "[" + ", ".join("NULL" if v is None else "'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def _cycle(values, by: str):
+    """One of some values for each row, in turn."""
+    values = list(values)
+    return F.element_at(F.array(*(F.lit(v) for v in values)), (F.col(by) % len(values) + 1).cast("int"))
+
+
+@query(f"SELECT p_partkey, {_sql_list(AR_LABELS.values())}[1 + p_partkey % {len(AR_LABELS)}] AS grade FROM part")
+def grade_bucket_ar(t):
+    return t("part").select("p_partkey", labels.bucket_ar(_cycle(AR_LABELS, "p_partkey"), compat=False).alias("grade"))
+
+
+@query(f"SELECT p_partkey, {_sql_list(labels.LABEL_AR.values())}[1 + p_partkey % {len(labels.LABEL_AR)}] AS name FROM part")
+def label_names(t):
+    return t("part").select("p_partkey", labels.label_to_ar(F.initcap(_cycle(labels.LABEL_AR, "p_partkey"))).alias("name"))
+
+
+@query(f"SELECT event_id, {_sql_list(IMAGES.values())}[1 + event_id % {len(IMAGES)}] AS kind, {_sql_list(FORWARDED.values())}[1 + event_id % {len(FORWARDED)}] AS client FROM events")
+def media_and_clients(t):
+    return t("events").select("event_id", keys.media_type(keys.image_bytes(_cycle(IMAGES, "event_id"))).alias("kind"), keys.client_key(_cycle(FORWARDED, "event_id"), F.lit("peer")).alias("client"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_custkey AS VARCHAR) WHEN o_orderkey % 2 = 1 THEN CAST(o_orderkey + 0.5::DOUBLE AS VARCHAR) ELSE CAST(o_orderkey AS VARCHAR) END AS number,
+'base/c:' || CASE WHEN o_orderkey % 3 = 0 THEN o_custkey ELSE o_orderkey END AS url FROM orders""")
+def record_keys(t):
+    first = F.when(F.col("o_orderkey") % 3 == 0, F.lit(0.0)).otherwise(F.col("o_orderkey") + F.when(F.col("o_orderkey") % 2 == 1, 0.5).otherwise(0.0))
+    n = keys.record_number(first, F.col("o_custkey").cast("double"))
+    return t("orders").select("o_orderkey", n.alias("number"), keys.record_url("base/", F.lit("c"), n).alias("url"))
+
+
+@query(f"SELECT doc_id, 'search:' || {NORM.format('left(trim(regexp_replace(text, ' + chr(39) + '\\s+' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')), 200)')} AS key FROM documents")
+def search_keys(t):
+    return spread(t("documents")).select("doc_id", keys.search_key(F.col("text"), compat=False).alias("key"))
+
+
+@query("SELECT p_partkey, p_name || ' of ' || p_brand || ' and all' AS body, 'N' || p_partkey || ' son of X' AS narrator, p_name AS excerpt FROM part")
+def bodies_and_excerpts(t):
+    said = F.concat(F.col("p_name"), F.lit(" of "), F.col("p_brand"), F.lit(" and all"))
+    text_en = F.concat(F.lit("Narrated N"), F.col("p_partkey").cast("string"), F.lit(" son of X: "), said)
+    inner = F.concat(F.lit("He spoke: "), F.initcap("p_name"), F.lit("; then he left"))
+    return t("part").select(
+        "p_partkey", text.extract_body(F.concat(F.lit("حدثنا فلان: «"), said, F.lit(".»"))).alias("body"), keys.narrator(text_en).alias("narrator"),
+        F.lower(text.excerpt(inner, F.split("p_name", " "))).alias("excerpt"),
+    )
+
+
+@query("""SELECT event_id, CASE WHEN m = 'not_found' THEN 'Not found in the approved sources.' ELSE CASE s WHEN 'green' THEN 'verified' WHEN 'amber' THEN 'needs review' ELSE 'misattributed / no basis' END || ': found '
+|| CASE m WHEN 'identical' THEN 'identical' WHEN 'partial' THEN 'an excerpt' WHEN 'altered' THEN 'with altered wording' ELSE 'by meaning' END || CASE WHEN event_id % 2 = 0 THEN ' — place ' || event_id ELSE '' END || '.' END AS summary
+FROM (SELECT event_id, ['identical', 'partial', 'altered', 'paraphrase', 'not_found'][1 + event_id % 5] AS m, ['green', 'amber', 'red'][1 + event_id % 3] AS s FROM events)""")
+def summaries(t):
+    place = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("place "), F.col("event_id").cast("string")))
+    return t("events").select("event_id", score.summary(_cycle(metrics.STATUSES, "event_id"), _cycle(align.RANK, "event_id"), place).alias("summary"))
+
+
 @query()
 def decide_actions(t):
     return _results(t).select("post_id", "idx", prepare.decide(F.col("match_type"), F.col("grade_class"), F.col("doc_id").isNotNull(), F.coalesce(F.size("alternatives"), F.lit(0))).alias("action"))
