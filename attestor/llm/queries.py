@@ -16,4 +16,4 @@ QUERIES = {
     "op9_neighbours": ann.op9_neighbours,
     "op10_html_text": html_text.op10_html_text,
 }
-ORACLE: dict[str, str] = {"op7_decontamination": decontam.SQL}
+ORACLE: dict[str, str] = {"op4_line_dedup": linededup.SQL, "op7_decontamination": decontam.SQL}
