@@ -66,3 +66,27 @@ def test_edge_cases(spark):
     assert got == [(0, "und"), (1, "en"), (4, "de"), (5, "und"), (5, "und"), (6, "en"), (7, "und")]
     assert L.identify(df.limit(0)).count() == 0
     assert {r.lang_pred for r in L.identify(df.selectExpr("doc_id", "text", "cast(null as string) as lang")).collect()} == {"und"}
+
+
+def test_query_against_brute_force(spark):
+    """Profiles, out-of-place distances, predictions and scores of every row, with strings and dictionaries only."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()
+
+    def ranked(counts):
+        return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], code(x[0])))[:300]]
+
+    sums = {}
+    for r in docs:
+        if r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            sums.setdefault(r.lang, Counter()).update(brute_counts(r.text))
+    profiles = {lang: {g: i for i, g in enumerate(ranked(c))} for lang, c in sums.items()}
+    got = {r.doc_id: r for r in L.op3_language_id(spark, sf).collect()}
+    for r in docs:
+        grams = ranked(brute_counts(r.text))
+        if not grams:
+            want = ("und", 0.0)
+        else:
+            best, lang = min((sum(min(abs(i - p[g]), 300) if g in p else 300 for i, g in enumerate(grams)), lang) for lang, p in profiles.items())
+            want = (lang, 1 - best / (300 * len(grams)))
+        assert got[r.doc_id].lang_pred == want[0] and abs(got[r.doc_id].score - want[1]) < 1e-12
