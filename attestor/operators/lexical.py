@@ -38,11 +38,11 @@ class LexicalIndex:
     def stored(cls, docs: DataFrame, doc_id: str, words: Column) -> LexicalIndex:
         """The index in the shared folder: each text is normalised once, into a table of its words, and whatever asks the
         index reads postings in order of their terms, so that the files and pages of other terms are passed over."""
-        d = staged(spread(docs).select(F.col(doc_id).alias("doc_id"), F.coalesce(words, F.array().cast("array<string>")).alias("words")), "words")
+        d = staged(spread(docs).select(F.col(doc_id).alias("doc_id"), F.coalesce(words, F.array().cast("array<string>")).alias("words")), "words", keep=True)
         built = cls.build(d, "doc_id", F.col("words"))
-        postings = staged(built.postings.sortWithinPartitions("term"), "postings")
-        terms = staged(postings.groupBy("term").agg(F.count(F.lit(1)).alias("n")), "terms")
-        return cls(postings, staged(built.stats, "stats"), d, terms)
+        postings = staged(built.postings.sortWithinPartitions("term"), "postings", keep=True)
+        terms = staged(postings.groupBy("term").agg(F.count(F.lit(1)).alias("n")), "terms", keep=True)
+        return cls(postings, staged(built.stats, "stats", keep=True), d, terms)
 
     def write(self, path: str) -> LexicalIndex:
         self.postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")

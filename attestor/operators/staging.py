@@ -20,11 +20,30 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and returns the table read back."""
-    path = f"{shared_dir(df.sparkSession)}/staged/{name}-{uuid.uuid4().hex}"
+_staged: list[tuple[str, str]] = []
+
+
+def staged(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Writes ``df`` to the shared folder and returns the table read back. It stays until release(), or for good where
+    ``keep`` is true (an index that later calls read)."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if not keep:
+        _staged.append((spark.sparkContext.applicationId, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the tables that this session's calls have staged, and returns how many. To be called once their results
+    are written: results are read from such tables."""
+    mine = [x for x in _staged if x[0] == spark.sparkContext.applicationId]
+    jvm = spark.sparkContext._jvm
+    for x in mine:
+        path = jvm.org.apache.hadoop.fs.Path(x[1])
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _staged.remove(x)
+    return len(mine)
 
 
 def spread(df: DataFrame) -> DataFrame:

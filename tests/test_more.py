@@ -200,3 +200,24 @@ def test_readers_of_lines(spark, tmp_path):
     assert ingest.results_json(spark, f"file://{tmp_path}/r").first().metrics.m == 0.5
     n = spark.createDataFrame([("c", "1", "b", "n", "e"), ("d", "2", None, " ", None)], "collection string, number string, body_norm string, text_norm string, text_en string")
     assert [tuple(r) for r in ingest.index_rows(n, "hadith_ar").collect()] == [("c:1", "b")] and ingest.index_rows(n, "hadith_en", ["d"]).count() == 0
+
+
+def test_staged_tables_are_released(spark):
+    from attestor.operators import lexical, staging
+
+    staging.release(spark)
+    docs = spark.createDataFrame([(1, "a b"), (2, "b c")], "id int, t string")
+    index = lexical.LexicalIndex.stored(docs, "id", text.tokens(F.col("t")))
+    one = staging.staged(docs, "one")
+    assert one.count() == 2 and staging.release(spark) == 1 and staging.release(spark) == 0
+    assert index.postings.count() == 4 and {r.term: r.n for r in index.terms.collect()} == {"a": 1, "b": 2, "c": 1}
+    with pytest.raises(Exception):
+        one.count()
+
+
+def test_column_form_of_the_guard(spark):
+    from attestor.operators import claims
+
+    rows = [("a  b", "x a\nb y"), ("«a b»", "a b"), ("b a", "a b"), ("", "a")]
+    got = spark.createDataFrame(rows, "s string, p string").select("s", claims.is_verbatim(F.col("s"), F.col("p")).alias("ok")).collect()
+    assert [r.ok for r in got] == [True, True, False, False]
