@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,7 +12,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Rows and bytes of an Arrow batch, at most, where the session has not set its own: texts may be long, and each task
+#: holds some batches in the JVM and in Python.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Sets the size of Arrow batches, unless it was set before."""
+    for name, default, value in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", "67108864b", BATCH_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}", default) == default:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(value))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -52,10 +66,20 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of so many rows, views of the same buffers: what Python makes of a piece stays small."""
-    for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+    """The batches in pieces of so many rows, views of the same buffers: what Python makes of a piece stays small. When
+    they end, memory that is free goes back to the system, as workers live on with other tasks."""
+    try:
+        for b in batches:
+            for at in range(0, b.num_rows, rows):
+                yield b.slice(at, rows)
+    finally:
+        give_back()
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # the C library of Linux has it
+        trim(0)
 
 
 def slot_buckets(rows: int, per_bucket: int = 4096, most: int = 65536) -> int:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm.common import Written, read_table, slices, write_table
+from attestor.llm.common import Written, give_back, read_table, slices, write_table
 from attestor.llm.components import connected_components
 
 SEED = 42
@@ -142,6 +142,7 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows, keys = fuzzy_keys(lane[part].view(np.uint64))
                 with_key = [x[part][rows] for x in (*lanes[-1:], fps)]
                 yield pa.RecordBatch.from_arrays([pa.array(keys | np.int64(k << 44)), *map(pa.array, with_key)], ["key", *["more"] * bool(lanes), "fp"])
+    give_back()
 
 
 def links_in_runs(keys: np.ndarray, fps: np.ndarray, tiers: tuple[int, ...] = (MAX_BITS,), more: np.ndarray | None = None) -> np.ndarray:
@@ -216,6 +217,8 @@ def _link(batches: Iterator[pa.RecordBatch], tiers: tuple[int, ...] = (MAX_BITS,
             parts, held = [rows[:, cut:].copy()], rows.shape[1] - cut
     if held:
         yield out(np.concatenate(parts, axis=1))
+    parts.clear()
+    give_back()
 
 
 def _components(fp: DataFrame, least: Column) -> DataFrame:
