@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attestor.llm import decontam, langid, linededup, pieces, simhash
-from attestor.llm.common import read_table, write_table
+from attestor.llm.common import bounded_batches, read_table, write_table
 
 #: Share of its characters that a text may lose to line dedup: all, so repeated chunks go from every text.
 MOST_REMOVED = 1.0
@@ -16,6 +16,7 @@ ORACLE_SQL = None
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a language: null, empty and letterless texts. Profiles come from the docs given."""
+    bounded_batches(spark)
     named = langid.predict(docs, langid.learn(docs))
     return named.where("lang_pred <> 'und'").select(docs.columns)
 
@@ -32,11 +33,13 @@ def _whole(docs: DataFrame, key: list[Column]) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component: that with the least doc_id, nulls last. Different texts that share a doc_id,
+    """Keeps one document of each component of texts whose five-word shingles are similar by 0.8 or more, as their wide
+    fingerprints tell: that with the least doc_id, nulls last. Different texts that share a doc_id,
     or have none, are different documents; of rows with the same text and doc_id one stays.
 
     What goes is settled on hashes. The texts then move once: the choice among repeated rows and the join with what goes
     have the same keys. What goes grows with the documents, so it is merged at every size and not broadcast."""
+    bounded_batches(spark)
     gone = simhash.repeated_keys(docs)
     ties = [F.col(f"doc.`{c}`") for c, kind in docs.dtypes if c != "text" and "map<" not in kind and kind != "variant"]
     one = F.row_number().over(Window.partitionBy(*simhash.KEY).orderBy(F.xxhash64(*ties)))
@@ -46,6 +49,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a passage of the benchmark. Texts are told apart by two hashes, not by doc_id."""
+    bounded_batches(spark)
     key = simhash.row_key()[:2]
     hit = decontam.contamination(docs.select(F.struct(*key).alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"))
     gone = write_table(hit.where("contaminated").select("doc_id.*").distinct(), "contaminated")
@@ -54,6 +58,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with the number and digest of their token ids and the digest of the decoded text."""
+    bounded_batches(spark)
     fields = [x for x in docs.columns if x not in ("n_tokens", "ids_sha256", "decoded_sha256")]
     return pieces.with_digests(docs.select(fields))
 
