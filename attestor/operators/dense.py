@@ -59,7 +59,7 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 50, list_name: s
     lists = 1
     if list_name in vectors.columns:
         lists = vectors.select(list_name).distinct().count()  # a document has a row for each list at most
-    q, v = _usable(queries.select("query_id", "vec")), _usable(vectors.select("doc_id", "vec"))
+    q, v = staged(_usable(queries.select("query_id", "vec")), "queries"), _usable(vectors.select("doc_id", "vec"))
     most, q_kind, d_kind = k * max(1, lists), q.schema["query_id"].dataType, v.schema["doc_id"].dataType
     schema = f"query_id {q_kind.simpleString()}, doc_id {d_kind.simpleString()}, sim double"
 
@@ -77,12 +77,12 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 50, list_name: s
                     rows, cols = np.divmod(np.arange(sims.size), sims.shape[1])
                 yield pa.RecordBatch.from_arrays([q_ids.values.take(pa.array(rows)), ids.values.take(pa.array(cols)), pa.array(sims[rows, cols])], ["query_id", "doc_id", "sim"])
 
-    dims = [r[0] for r in q.select(F.size("vec")).distinct().collect()]  # lengths of the queries: one, as a rule
+    dims = q.groupBy(F.size("vec")).count().collect()  # lengths of the queries: one, as a rule
     found = []
-    for dim in dims:
+    for dim, n in dims:
         size = max(1, QUERY_BYTES // (8 * dim))
         asked = q.where(F.size("vec") == dim)
-        blocks = staged(_packed(asked.repartition(-(-asked.count() // size)), "query_id", size).select(F.col("ids").alias("q_ids"), F.col("x").alias("q_x")).withColumn("block", F.monotonically_increasing_id()), "query-blocks")
+        blocks = staged(_packed(asked.repartition(-(-n // size)), "query_id", size).select(F.col("ids").alias("q_ids"), F.col("x").alias("q_x")).withColumn("block", F.monotonically_increasing_id()), "query-blocks")
         rows = _packed(v.where(F.size("vec") == dim), "doc_id", ROWS).withColumn("dim", F.lit(dim))
         for r in blocks.select("block").collect():  # numbers of blocks only
             one = blocks.where(F.col("block") == r.block).drop("block")
