@@ -22,8 +22,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes repeated chunks of lines; n_chars follows the text, and documents of which nothing is left go."""
-    out = linededup.dedup_lines(docs, most_removed=MOST_REMOVED).where("lines_removed = 0 or trim(text) <> ''")
+    """Removes repeated chunks of lines, those of copies too; n_chars follows the text, and documents of which nothing is left go."""
+    out = linededup.dedup_lines(docs, most_removed=MOST_REMOVED, count_copies=True).where("lines_removed = 0 or trim(text) <> ''")
     return out.withColumn("n_chars", F.when(F.col("lines_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 

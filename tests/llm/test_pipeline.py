@@ -64,6 +64,13 @@ def test_line_stage_spares_no_text(spark):
     assert all(r.n_chars == len(r.text) for r in got.values())
 
 
+def test_line_stage_takes_copies_for_repeats(spark):
+    rows = [(3, "the first line\nthe second line"), (1, "the first line\nthe second line"), (2, "before it\nthe first line\nthe second line"), (4, "one line"), (5, "one line")]
+    docs = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: r.text for r in C.lines(spark, docs, "").collect()}
+    assert got == {1: rows[1][1], 2: "before it", 4: "one line", 5: "one line"}
+
+
 def test_equal_and_null_ids_are_no_reason_to_drop(spark, tmp_path):
     """Different texts with one id, or none, stay; rows that tie in id and text are one document."""
     spark.createDataFrame([(1, "the passage of a benchmark that nobody should have seen before now")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
